@@ -18,6 +18,7 @@ there is simply tokenised again.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 from statistics import NormalDist
@@ -34,7 +35,7 @@ SEQUENCE = 4096
 END_ID = 2
 DIMS, BITS = 4, 8
 #: Words that a worker keeps, at most.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 3_000_000
 
 
 def default_tokenizer() -> str:
@@ -43,56 +44,139 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Bytes of words whose number of pieces is known: 1 letter, 2 digit, 3 another ASCII sign; 0: tokenised by itself.
+#: Letters are a-z, A-Z and those of U+00C0 to U+00FF, 0xC3 and a second byte; 0x97 and 0xB7 would end signs there.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[ord(c) for c in "'<|>"]] = 0
+_KIND[[0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[[0x97, 0xB7]] = 0
+
+#: Words that are tokenised in one string.
+TOGETHER = 512
+
+
 class Tokens:
     """Ids of many texts at once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(hashes) > KEPT_WORDS:
+        self.tiers = [_Tier(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, self.dtype))]
+
+    def _one_by_one(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, w: Words, at: np.ndarray) -> "_Tier":
+        """A tier of the words w.start[at].. with these sorted hashes.
+
+        Letters, digits and ASCII signs are cut into pieces in a way that needs no
+        look at the neighbours: runs of letters, single digits, runs of other
+        signs; and the last id of each piece is one that closes.  So many such
+        words are tokenised in one string, whose ids are then dealt out by
+        counting the closing ones.  All other words are tokenised singly.
+        """
+        start, end = w.start[at], w.end[at]
+        kind = _KIND[np.frombuffer(w.bytes, np.uint8)]
+        odd = np.append(0, np.cumsum(kind == 0))
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        pieces = np.append(0, np.cumsum(new))
+        # A word's first byte begins a piece, whatever is before it.
+        pieces = pieces[end] - pieces[start] + ~new[start]
+        plain = (odd[end] == odd[start]) if self.closes.any() else np.zeros(len(at), bool)
+        numbers = np.flatnonzero(plain)
+        groups = [numbers[i : i + TOGETHER] for i in range(0, len(numbers), TOGETHER)]
+        flat, sizes, rest = [], np.zeros(len(at), np.int64), np.flatnonzero(~plain).tolist()
+        spelled = lambda k: w.bytes[start[k] : end[k]].decode("utf-8", "replace")
+        joined = [b" ".join(w.bytes[s:e] for s, e in zip(start[g].tolist(), end[g].tolist())).decode() for g in groups]
+        order = []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            got = np.array(e.ids, self.dtype)
+            closing = np.flatnonzero(self.closes[got])
+            last = np.cumsum(pieces[g]) - 1
+            if len(closing) != last[-1] + 1:
+                rest += g.tolist()
+                continue
+            sizes[g] = np.diff(np.append(0, closing[last] + 1))
+            flat.append(got)
+            order.append(g)
+        lists = self._one_by_one([spelled(k) for k in rest])
+        sizes[rest] = [len(x) for x in lists]
+        flat += [np.array(x, self.dtype) for x in lists]
+        order.append(np.array(rest, np.int64))
+        order = np.concatenate(order)
+        begin = np.empty(len(at), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        pool = np.concatenate([*flat, np.zeros(0, self.dtype)])
+        return _Tier(hashes, np.append(0, np.cumsum(sizes)), pool[spread(begin, sizes)])
+
+    def _keep(self, tier: "_Tier") -> None:
+        """Tiers at least halve in size, so a word is merged few times."""
+        if sum(len(t.known) for t in self.tiers) + len(tier.known) > KEPT_WORDS:
             self.forget()
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int64, int(sizes.sum()))
-        if len(flat) and flat.max() > 0xFFFF and self.ids.dtype == np.uint16:
-            self.ids = self.ids.astype(np.uint32)
-        all_hashes = np.concatenate([self.known, hashes])
-        order = np.argsort(all_hashes, kind="stable")
-        all_sizes = np.concatenate([np.diff(self.begin), sizes])
-        at = np.concatenate([self.begin[:-1], len(self.ids) + np.cumsum(sizes) - sizes])
-        pool = np.concatenate([self.ids, flat.astype(self.ids.dtype)])
-        self.known = all_hashes[order]
-        self.begin = np.append(0, np.cumsum(all_sizes[order]))
-        self.ids = pool[spread(at[order], all_sizes[order])]
+        self.tiers.append(tier)
+        while len(self.tiers) > 1 and 2 * len(self.tiers[-1].known) > len(self.tiers[-2].known):
+            b, a = self.tiers.pop(), self.tiers.pop()
+            self.tiers.append(a.merged(b))
 
     def slab(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slab's texts, one after the other, and where each text's begin, and one more entry."""
         w = Words(data, offsets, TO_BLANK)
         distinct, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        k = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = k < len(self.known)
-        new[inside] = self.known[k[inside]] != distinct[inside]
-        if new.any():
-            if len(self.known) + new.sum() > KEPT_WORDS:
-                new[:] = True
-            words = [w.bytes[s:e].decode("utf-8", "replace") for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
-            self._learn(distinct[new], words)
-            k = np.searchsorted(self.known, distinct)
-        k = k[back]
-        sizes = self.begin[k + 1] - self.begin[k]
-        ids = self.ids[spread(self.begin[k], sizes)]
+        begin = np.zeros(len(distinct), np.int64)
+        sizes = np.zeros(len(distinct), np.int64)
+        missing = np.ones(len(distinct), bool)
+        pools, used = [], 0
+        for tier in self.tiers:
+            at = np.flatnonzero(missing)
+            k, there = tier.find(distinct[at])
+            at, k = at[there], k[there]
+            begin[at] = tier.begin[k] + used
+            sizes[at] = tier.begin[k + 1] - tier.begin[k]
+            missing[at] = False
+            pools.append(tier.ids)
+            used += len(tier.ids)
+        if missing.any():
+            tier = self._learn(distinct[missing], w, first[missing])
+            begin[missing] = tier.begin[:-1] + used
+            sizes[missing] = np.diff(tier.begin)
+            pools.append(tier.ids)
+            self._keep(tier)
+        # The distinct words' ids first, so that what follows reads a small array.
+        short = np.concatenate(pools)[spread(begin, sizes)]
         ends = np.append(0, np.cumsum(sizes))
-        return ids, ends[w.first]
+        sizes = sizes[back]
+        ids = short[spread(ends[back], sizes)]
+        return ids, np.append(0, np.cumsum(sizes))[w.first]
+
+
+class _Tier:
+    """Sorted hashes of words, and their ids, one word after the other."""
+
+    def __init__(self, known: np.ndarray, begin: np.ndarray, ids: np.ndarray):
+        self.known, self.begin, self.ids = known, begin, ids
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        return k, self.known[k] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+
+    def merged(self, other: "_Tier") -> "_Tier":
+        known = np.concatenate([self.known, other.known])
+        order = np.argsort(known, kind="stable")
+        sizes = np.concatenate([np.diff(self.begin), np.diff(other.begin)])[order]
+        begin = np.concatenate([self.begin[:-1], other.begin[:-1] + len(self.ids)])[order]
+        return _Tier(known[order], np.append(0, np.cumsum(sizes)), np.concatenate([self.ids, other.ids])[spread(begin, sizes)])
 
 
 def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
