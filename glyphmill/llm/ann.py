@@ -30,6 +30,8 @@ MOST_LISTS = 1024
 PARTS, CODES = 16, 256
 #: Share of the lists that a query looks at, and the fewest.
 PROBE_SHARE, LEAST_PROBES = 0.6, 8
+#: Entries on the lists that a query looks at, at least: small tables are searched almost whole.
+LEAST_ENTRIES = 4000
 #: Entries ranked anew for each query, as a multiple of the neighbours asked for.
 RERANK = 20
 CHUNK, QUERY_CHUNK = 20_000, 2_000
@@ -193,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_k: int = NEAREST, sha
     for r in entries.groupBy("list").count().collect():  # as many rows as there are lists, MOST_LISTS at most
         sizes[r["list"]] = r["count"]
     keep = RERANK * nearest_k
-    probes = written(queries.select("query_id", "v").mapInArrow(_probing(shared, sizes, share, 2 * keep), "query_id long, list int, v array<double>"), "probes")
+    probes = written(queries.select("query_id", "v").mapInArrow(_probing(shared, sizes, share, max(2 * keep, LEAST_ENTRIES)), "query_id long, list int, v array<double>"), "probes")
     # Both sides of a list in chunks; again as many rows as lists.
     cut = entries.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     asked = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("query_chunks"))

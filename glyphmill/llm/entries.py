@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, jaccard, licences, lines, packing, pii, quality, secret_scan
+from . import ann, decontam, jaccard, licences, lines, packing, passages, pii, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_ann, op3_quality, op4_secrets, op5_licences, op7_packing, op8_decontam, op9_lines, op10_jaccard)}
+    return {f.__name__: f for f in (op1_pii, op2_ann, op3_quality, op4_secrets, op5_licences, op6_passages, op7_packing, op8_decontam, op9_lines, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -139,37 +139,45 @@ def _prefixes(frequent, w: int, percent: int):
     return run
 
 
-def _shared_lists(batches):
-    """Of rows sorted by token: those whose token other classes have too, each class once; a partition's first and last list whole."""
-    names = ["token", "cls", "n", "pos"]
+def shared_lists(names: list[str]):
+    """Of rows sorted by the first two names, token and class: those whose token other classes have too.
+
+    Of rows of one token and class the first; a partition's first and last list
+    whole, as they may go on elsewhere.
+    """
 
     def settle(held, edge):
-        token, cls, n, pos = (np.concatenate(c) for c in zip(*held))
+        columns = [np.concatenate(c) for c in zip(*held)]
+        token, cls = columns[:2]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n, pos = token[new], cls[new], n[new], pos[new]
+        columns = [c[new] for c in columns]
+        token = columns[0]
         head = np.ones(len(token), bool)
         head[1:] = token[1:] != token[:-1]
         run = np.cumsum(head) - 1
         keep = np.bincount(run)[run] > 1
         keep |= ((run == 0) & edge[0]) | ((run == run[-1]) & edge[1])
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, cls, n, pos)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
 
-    held, first = [], True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held and held[-1][0][-1] != new[0][0]:
-            yield settle(held, (first, False))
-            held, first = [], False
-        tail = int(np.searchsorted(new[0], new[0][-1]))
-        if tail:
-            yield settle([*held, [c[:tail] for c in new]], (first, False))
-            held, first = [], False
-        held.append([c[tail:] for c in new])
-    if held:
-        yield settle(held, (first, True))
+    def run(batches):
+        held, first = [], True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held and held[-1][0][-1] != new[0][0]:
+                yield settle(held, (first, False))
+                held, first = [], False
+            tail = int(np.searchsorted(new[0], new[0][-1]))
+            if tail:
+                yield settle([*held, [c[:tail] for c in new]], (first, False))
+                held, first = [], False
+            held.append([c[tail:] for c in new])
+        if held:
+            yield settle(held, (first, True))
+
+    return run
 
 
 def _blocks(batches):
@@ -331,7 +339,7 @@ class NgramJoin:
         frequent = self.spark.sparkContext.broadcast(tokens)
         index = self.texts.select("text").mapInArrow(_prefixes(frequent, self.w, self.percent), "token long, cls long, n int, pos int")
         order = ["token", "n", "pos", "cls"]
-        shared = index.repartitionByRange(self.parts, *order).sortWithinPartitions("token", "cls").mapInArrow(_shared_lists, "token long, cls long, n int, pos int")
+        shared = index.repartitionByRange(self.parts, *order).sortWithinPartitions("token", "cls").mapInArrow(shared_lists(["token", "cls", "n", "pos"]), "token long, cls long, n int, pos int")
         shared = written(shared, "lists")
         roots = self._near().select(F.col("a").alias("cls"), F.col("b").alias("root"))
         lists = shared.join(roots, "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("grp"), "n", "pos", F.lit(0).alias("len"))

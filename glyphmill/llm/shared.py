@@ -44,6 +44,27 @@ def with_key(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+#: Pairs with one text on the right that a task gets, about.
+PAIRS_A_TEXT = 64
+
+
+def texts_beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, key_a, key_b, ...) with text_a and text_b, from texts (row_key, text); only texts that are needed travel.
+
+    Many pairs may have one text on the right: it is copied as often as that
+    needs, and its pairs are dealt out over the copies.
+    """
+    need = pairs.select(F.col("key_a").alias("row_key")).union(pairs.select("key_b")).distinct()
+    if need.count() * 64 <= BROADCAST_BYTES:
+        need = F.broadcast(need)
+    texts = texts.select("row_key", "text").join(need, "row_key", "left_semi").dropDuplicates(["row_key"])
+    copies = pairs.groupBy("key_b").agg(F.ceil(F.count("*") / PAIRS_A_TEXT).cast("int").alias("copies"))
+    left = texts.select(F.col("row_key").alias("key_a"), F.col("text").alias("text_a"))
+    right = texts.join(copies, texts["row_key"] == copies["key_b"]).select("key_b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    numbered = pairs.join(copies, "key_b").withColumn("copy", F.pmod(F.xxhash64("key_a"), F.col("copies")).cast("int")).drop("copies")
+    return numbered.join(left, "key_a").join(right, ["key_b", "copy"]).drop("key_a", "key_b", "copy")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges (a, b): (node, component), the smallest node of each.
 
