@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, components, row_key, with_key, written
+from .shared import components, row_key, texts_beside, with_key, written
 from .textscan import Words, mix, slabs
 
 SHINGLE = 4
@@ -274,15 +274,7 @@ class NgramJoin:
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
         """pairs of classes (a, b), with a text of each; only texts that are needed travel."""
         pairs = pairs.join(self.classes.select(F.col("cls").alias("a"), F.col("key").alias("key_a")), "a").join(self.classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b")
-        pairs = written(pairs, "pairs")
-        need = pairs.select(F.col("key_a").alias("row_key")).union(pairs.select("key_b")).distinct()
-        texts = self.texts.select("row_key", "text")
-        if need.count() * 64 <= BROADCAST_BYTES:
-            need = F.broadcast(need)
-        texts = texts.join(need, "row_key", "left_semi").dropDuplicates(["row_key"])
-        left = texts.select(F.col("row_key").alias("key_a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("row_key").alias("key_b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "key_a").join(right, "key_b").select("a", "b", "text_a", "text_b")
+        return texts_beside(written(pairs, "pairs"), self.texts)
 
     def _compare(self, pairs: DataFrame, deltas: bool) -> DataFrame:
         return self._with_texts(pairs).mapInArrow(_compared(self.w, self.percent, deltas), "a long, b long, n_a long, n_b long, both long, delta array<long>")
