@@ -27,24 +27,31 @@ def variation(counts: Column) -> Column:
     return F.when(s > 0, F.sqrt((n * q - s * s).cast("double")) / s).otherwise(0.0)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; a lambda that names an expression would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def frequency(xs: Column) -> Column:
-    """How often each distinct value occurs, from runs of the sorted array."""
-    ordered = F.array_sort(xs)
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    """How often each distinct value occurs: the lengths of runs in the sorted array."""
 
-    def step(s, x):
-        same = x == s["last"]
-        return F.when(same, F.struct(s["last"].alias("last"), (s["n"] + 1).alias("n"), s["out"].alias("out"))).otherwise(
-            F.struct(x.alias("last"), F.lit(1).cast("long").alias("n"), F.when(s["n"] > 0, F.array_append(s["out"], s["n"])).otherwise(s["out"]).alias("out"))
-        )
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        sizes = let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n)), lambda a, b: (b - a).cast("long")))
+        return F.when(n > 0, sizes).otherwise(F.array().cast("array<bigint>"))
 
-    return F.aggregate(ordered, start, step, lambda s: F.when(s["n"] > 0, F.array_append(s["out"], s["n"])).otherwise(s["out"]))
+    return let(F.array_sort(xs), runs)
 
 
 def entropy(counts: Column) -> Column:
     """Shannon entropy in bits from counts."""
-    n = total(counts)
-    return F.when(n > 0, F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c)) / n).otherwise(0.0)
+
+    def bits(c: Column) -> Column:
+        n = total(c)
+        return F.when(n > 0, F.log2(n) - F.aggregate(c, F.lit(0.0), lambda s, k: s + k * F.log2(k)) / n).otherwise(0.0)
+
+    return let(counts, bits)
 
 
 def distinct_ratio(xs: Column) -> Column:
@@ -53,7 +60,10 @@ def distinct_ratio(xs: Column) -> Column:
 
 
 def ngrams(xs: Column, n: int) -> Column:
-    return F.when(F.size(xs) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(xs, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    def grams(a: Column) -> Column:
+        return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(xs, grams)
 
 
 def repeat_ratio(xs: Column, n: int) -> Column:
@@ -78,9 +88,14 @@ def punctuation_diversity(text: Column, pattern: str = T.PUNCTUATION, most: int
 def adjacent_overlap(sentences: Column) -> Column:
     """Mean Jaccard similarity of neighbouring sentences' tokens of more than three characters."""
     sets = F.transform(sentences, lambda s: F.array_distinct(F.filter(F.transform(T.tokens(s), F.lower), lambda t: F.length(t) > 3)))
-    pairs = F.zip_with(F.slice(sets, F.lit(1), F.greatest(F.size(sets) - 1, F.lit(0))), F.slice(sets, F.lit(2), F.greatest(F.size(sets) - 1, F.lit(1))), lambda a, b: F.struct(F.size(F.array_intersect(a, b)).alias("i"), F.size(F.array_union(a, b)).alias("u")))
-    kept = F.filter(pairs, lambda p: p["u"] > 0)
-    return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, p: s + p["i"] / p["u"]) / F.size(kept)).otherwise(0.0)
+
+    def overlap(a: Column) -> Column:
+        before, after = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(1)))
+        pairs = F.zip_with(before, after, lambda x, y: F.struct(F.size(F.array_intersect(x, y)).alias("i"), F.size(F.array_union(x, y)).alias("u")))
+        mean = lambda kept: F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, p: s + p["i"] / p["u"]) / F.size(kept)).otherwise(0.0)
+        return let(F.filter(pairs, lambda p: p["u"] > 0), mean)
+
+    return let(sets, overlap)
 
 
 @F.pandas_udf(DoubleType())

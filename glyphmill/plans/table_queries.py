@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import metrics as M
 from glyphmill.functions import text as T
 from glyphmill.operators import fusion, matching, records, training
 from glyphmill.streaming import events as E
 
-from .text_queries import table
+from .text_queries import sized, table
 
 LABELLED = "case when doc_id % 3 = 0 then 'ai' when doc_id % 3 = 1 then 'human' else 'mixed' end"
 
@@ -394,9 +395,11 @@ def benchmark_contamination(spark, sf_dir):
 
     Shingles meet as hashes in an equi-join; the benchmark's are the small side, and the optimiser sees its size.
     """
-    from glyphmill.functions.metrics import ngrams
 
-    shingles = lambda t, key: t.select(key, F.explode(F.array_distinct(F.transform(ngrams(F.transform(T.tokens(F.col("text")), F.lower), 8), lambda g: F.xxhash64(g)))).alias("g"))
+    def shingles(t: DataFrame, key: str) -> DataFrame:
+        grams = M.ngrams(F.transform(T.tokens(F.col("text")), F.lower), 8)
+        return sized(t).select(key, F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("g"))
+
     d, b = shingles(table(spark, sf_dir, "documents"), "doc_id"), shingles(table(spark, sf_dir, "benchmark"), "item_id").select("g").distinct()
     return d.join(b, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
