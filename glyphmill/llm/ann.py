@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
+from .textscan import tidied
 
 NEAREST = 10
 #: Classes that centroids and codebooks are fitted on, at most; drawn by hash of id.
@@ -190,12 +191,12 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_k: int = NEAREST, sha
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = fit(_matrix(rows["v"]), n)
     shared = spark.sparkContext.broadcast(model)
-    entries = written(whole.select("cls", "v").mapInArrow(_encoded(shared), "cls long, list int, code binary"), "codes")
+    entries = written(whole.select("cls", "v").mapInArrow(tidied(_encoded(shared)), "cls long, list int, code binary"), "codes")
     sizes = np.zeros(len(model.centroids), np.int64)
     for r in entries.groupBy("list").count().collect():  # as many rows as there are lists, MOST_LISTS at most
         sizes[r["list"]] = r["count"]
     keep = RERANK * nearest_k
-    probes = written(queries.select("query_id", "v").mapInArrow(_probing(shared, sizes, share, max(2 * keep, LEAST_ENTRIES)), "query_id long, list int, v array<double>"), "probes")
+    probes = written(queries.select("query_id", "v").mapInArrow(tidied(_probing(shared, sizes, share, max(2 * keep, LEAST_ENTRIES))), "query_id long, list int, v array<double>"), "probes")
     # Both sides of a list in chunks; again as many rows as lists.
     cut = entries.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     asked = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("query_chunks"))

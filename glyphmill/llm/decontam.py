@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, row_key, with_key
-from .textscan import MIX_A, mix, slabs
+from .textscan import MIX_A, mix, slabs, tidied
 
 WINDOW = 13
 
@@ -228,7 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, most_b
     parts = []
     for n, block in blocks(benchmark.where("item_id is not null"), most_bytes):
         shared = spark.sparkContext.broadcast(block)
-        parts.append(keyed.mapInArrow(_searched(shared, w, only_hits=n > 1), FOUND))
+        parts.append(keyed.mapInArrow(tidied(_searched(shared, w, only_hits=n > 1)), FOUND))
     if len(parts) == 1:
         return parts[0]
     none = spark.sparkContext.broadcast([])
@@ -236,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, most_b
     for p in parts[1:]:
         hits = hits.unionByName(p)
     merged = hits.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-    every = keyed.mapInArrow(_searched(none, w, only_hits=False), FOUND)
+    every = keyed.mapInArrow(tidied(_searched(none, w, only_hits=False)), FOUND)
     return every.join(merged, "row_key", "left").select("doc_id", "row_key", "n_words", F.coalesce("h", "hit").alias("hit"), F.coalesce("i", "items").alias("items"))
 
 
@@ -274,5 +274,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, most_bytes: in
                     keep[d] = 20 * len(words) < counts[d]
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, row_key, texts_beside, with_key, written
-from .textscan import Words, mix, slabs
+from .textscan import Words, mix, slabs, tidied
 
 SHINGLE = 4
 PERCENT = 85
@@ -213,7 +213,7 @@ def _paired(lists: DataFrame, parts: int, possible, block_possible) -> DataFrame
     # A list of one group has nothing to pair.
     mixed = lists.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("token")
     lists = lists.join(mixed, "token", "left_semi").select("token", "cls", "grp", "n", "pos", "len")
-    cut = written(lists.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks, ENTRY + ", block long"), "index")
+    cut = written(lists.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(_blocks), ENTRY + ", block long"), "index")
     about = cut.groupBy("token", "block").agg(*(f(c).alias(f"{c}{k}") for c in ("n", "pos", "grp") for k, f in enumerate((F.min, F.max))))
     x, y = about.alias("p"), about.alias("q")
     one_group = (F.col("p.grp0") == F.col("p.grp1")) & (F.col("q.grp0") == F.col("q.grp1")) & (F.col("p.grp0") == F.col("q.grp0"))
@@ -277,14 +277,14 @@ class NgramJoin:
         return texts_beside(written(pairs, "pairs"), self.texts)
 
     def _compare(self, pairs: DataFrame, deltas: bool) -> DataFrame:
-        return self._with_texts(pairs).mapInArrow(_compared(self.w, self.percent, deltas), "a long, b long, n_a long, n_b long, both long, delta array<long>")
+        return self._with_texts(pairs).mapInArrow(tidied(_compared(self.w, self.percent, deltas)), "a long, b long, n_a long, n_b long, both long, delta array<long>")
 
     def _linked(self):
         return F.lit(100) * F.col("both") >= F.lit(self.percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
     def describe(self) -> None:
         """The documents' sizes and classes; of each class its first document."""
-        self.rows = written(self.texts.mapInArrow(_described(self.w), "doc_id long, row_key long, n long, cls long, mins array<long>, often array<long>"), "sets")
+        self.rows = written(self.texts.mapInArrow(tidied(_described(self.w)), "doc_id long, row_key long, n long, cls long, mins array<long>, often array<long>"), "sets")
         first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row_key")).alias("first")
         some = self.rows.where("n > 0").groupBy("cls").agg(first, F.first("n").alias("n"), F.first("mins").alias("mins"))
         self.classes = written(some.select("cls", F.col("first.doc").alias("doc"), F.col("first.row_key").alias("key"), "n", "mins"), "classes")
@@ -329,9 +329,9 @@ class NgramJoin:
         often = self.rows.select(F.explode("often").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(FREQUENT)
         tokens = np.sort(np.array([r.token for r in often.select("token").collect()], np.int64).view(np.uint64))
         frequent = self.spark.sparkContext.broadcast(tokens)
-        index = self.texts.select("text").mapInArrow(_prefixes(frequent, self.w, self.percent), "token long, cls long, n int, pos int")
+        index = self.texts.select("text").mapInArrow(tidied(_prefixes(frequent, self.w, self.percent)), "token long, cls long, n int, pos int")
         order = ["token", "n", "pos", "cls"]
-        shared = index.repartitionByRange(self.parts, *order).sortWithinPartitions("token", "cls").mapInArrow(shared_lists(["token", "cls", "n", "pos"]), "token long, cls long, n int, pos int")
+        shared = index.repartitionByRange(self.parts, *order).sortWithinPartitions("token", "cls").mapInArrow(tidied(shared_lists(["token", "cls", "n", "pos"])), "token long, cls long, n int, pos int")
         shared = written(shared, "lists")
         roots = self._near().select(F.col("a").alias("cls"), F.col("b").alias("root"))
         lists = shared.join(roots, "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("grp"), "n", "pos", F.lit(0).alias("len"))

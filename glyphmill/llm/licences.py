@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .secret_scan import points
 from .shared import with_key
-from .textscan import ASCII_LOWER, slabs
+from .textscan import ASCII_LOWER, slabs, tidied
 
 GAP = 6
 
@@ -205,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; other columns are not looked at; repeated rows repeat.
     """
-    return with_key(docs).select("doc_id", "text").mapInArrow(_scanned, FOUND)
+    return with_key(docs).select("doc_id", "text").mapInArrow(tidied(_scanned), FOUND)
 
 
 def digest(docs: DataFrame) -> DataFrame:

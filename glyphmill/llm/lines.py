@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import row_key, with_key, written
-from .textscan import ASCII_LOWER, WHITE, slabs
+from .textscan import ASCII_LOWER, WHITE, slabs, tidied
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -130,10 +130,10 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = with_key(docs).mapInArrow(_hashed(least_chars), LINES)
+    lines = with_key(docs).mapInArrow(tidied(_hashed(least_chars)), LINES)
     order = ["h1", "h2", F.col("doc").desc(), "pos"]
     found = lines.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order)
-    found = written(found.mapInArrow(_streamed(least_docs), STREAM), "line-runs")
+    found = written(found.mapInArrow(tidied(_streamed(least_docs)), STREAM), "line-runs")
     # At most two rows a partition, so this side is small whatever the input.
     whole = found.where(F.col("kind") == RUN).groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("keeper"))
     late = found.where(F.col("kind") == OPEN).join(F.broadcast(whole), ["h1", "h2"]).where((F.col("all_docs") >= least_docs) & (F.col("doc") < F.col("keeper")))
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     """
     gone = keep_bitmaps(docs, least_chars, least_docs)
     joined = with_key(docs).join(gone, "row_key", "left").select("doc_id", "text", "dropped")
-    return joined.mapInArrow(_bitmaps, "doc_id long, text binary, n_lines long, n_dropped long, keep binary")
+    return joined.mapInArrow(tidied(_bitmaps), "doc_id long, text binary, n_lines long, n_dropped long, keep binary")
 
 
 def _digests(batches):
@@ -191,7 +191,7 @@ def _digests(batches):
 
 def digest(docs: DataFrame) -> DataFrame:
     """What query op9_lines returns."""
-    return dedup_lines(docs).mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return dedup_lines(docs).mapInArrow(tidied(_digests), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
@@ -212,5 +212,5 @@ def rewritten(docs: DataFrame) -> DataFrame:
             columns = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    new = joined.select(*names, "dropped").mapInArrow(cut, docs.schema)
+    new = joined.select(*names, "dropped").mapInArrow(tidied(cut), docs.schema)
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else new

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import with_key, written
-from .textscan import TO_BLANK, Words, slabs
+from .textscan import TO_BLANK, Words, slabs, tidied
 
 SEQUENCE = 4096
 END_ID = 2
 DIMS, BITS = 4, 8
 #: Words that a worker keeps, at most.
-KEPT_WORDS = 3_000_000
+KEPT_WORDS = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -264,7 +264,7 @@ def _tokenised(path: str, end_id: int):
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(row, doc_id, key, n, ids, width), written to the shared folder; row numbers the rows."""
-    ids = with_key(docs).mapInArrow(_tokenised(path, end_id), "doc_id long, key long, n long, ids binary, width int")
+    ids = with_key(docs).mapInArrow(tidied(_tokenised(path, end_id)), "doc_id long, key long, n long, ids binary, width int")
     return written(ids.withColumn("row", F.monotonically_increasing_id()), "ids")
 
 
@@ -288,7 +288,7 @@ def places(ids: DataFrame) -> DataFrame:
     """(row, place): how many ids of all documents come before each row's, in order of key."""
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ids.select("key", "row", "n").repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row").select("row", "n")
-    order = written(order.mapInArrow(_numbered, "row long, n long, part int, at long"), "order")
+    order = written(order.mapInArrow(tidied(_numbered), "row long, n long, part int, at long"), "order")
     # One row a partition, so this side is small whatever the input.
     totals = order.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -330,4 +330,4 @@ def _pieces(sequence: int):
 
 def digest(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """What query op7_packing returns: one row a piece of a document within a sequence."""
-    return packed(docs, path, sequence).mapInArrow(_pieces(sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return packed(docs, path, sequence).mapInArrow(tidied(_pieces(sequence)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .crf import BiLstmCrf
 from .secret_scan import SPAN_TYPE, SPANS, counted, points
 from .shared import with_key
-from .textscan import slabs
+from .textscan import slabs, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -280,7 +280,7 @@ def scan(docs: DataFrame) -> DataFrame:
     other columns are not looked at; repeated rows repeat.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
-    return with_key(docs).select("doc_id", "text").mapInArrow(_scanned(shared), SPANS)
+    return with_key(docs).select("doc_id", "text").mapInArrow(tidied(_scanned(shared)), SPANS)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_key
-from .textscan import Words, slabs
+from .textscan import Words, slabs, tidied
 
 #: Bounds of the samples that the network is trained on; drawn by hash of doc_id.
 POSITIVES = 6000
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     positive = mine.where("quality = 1").select("doc_id").distinct().orderBy(*by_hash).limit(POSITIVES).withColumn("positive", F.lit(1))
     other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out() & F.col("doc_id").isNotNull()).orderBy(*by_hash).limit(UNLABELLED).withColumn("positive", F.lit(0))
     sample = F.broadcast(positive.unionByName(other.distinct()))
-    drawn = with_key(docs).join(sample, "doc_id").select("positive", "text").mapInArrow(_featured(["positive"]), "positive int, x array<double>")
+    drawn = with_key(docs).join(sample, "doc_id").select("positive", "text").mapInArrow(tidied(_featured(["positive"])), "positive int, x array<double>")
     rows = drawn.toArrow()
     flag = rows["positive"].to_numpy()
     x = np.array(rows["x"].combine_chunks().flatten(), float).reshape(-1, len(FEATURES)) if len(flag) else np.zeros((0, len(FEATURES)))
@@ -169,7 +169,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = shared.value.score(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s)], ["doc_id", "score"])
 
-    return with_key(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return with_key(docs).select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,4 +186,4 @@ def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in slabs(batch.column("text").cast(pa.binary())):
                 yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.score(features(data, offsets)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_key
-from .textscan import ASCII_LOWER, slabs
+from .textscan import ASCII_LOWER, slabs, tidied
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -165,7 +165,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; other columns are not looked at; repeated rows repeat.
     """
-    return with_key(docs).select("doc_id", "text").mapInArrow(_scanned, SPANS)
+    return with_key(docs).select("doc_id", "text").mapInArrow(tidied(_scanned), SPANS)
 
 
 def counted(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFrame:

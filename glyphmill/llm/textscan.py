@@ -8,10 +8,13 @@ larger slab.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
-SLAB = 2 << 20
+SLAB = 1 << 20
 
 # The odd multipliers of the hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -26,6 +29,30 @@ LOWER_TO_BLANK = ASCII_LOWER.translate(TO_BLANK)
 _powers = np.ones(1, np.uint64)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, where the C library offers that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def tidied(run):
+    """run over batches; afterwards the idle worker keeps no memory that it does not use.
+
+    Workers stay for later tasks, several to an executor, so what one keeps the
+    others lack.
+    """
+
+    @functools.wraps(run)
+    def out(batches):
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
 def powers(n: int) -> np.ndarray:
     """BASE to the power 0..n, modulo 2**64; the longest asked for so far is kept."""
     global _powers
