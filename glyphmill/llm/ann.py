@@ -8,8 +8,9 @@ a table of its residual's distances to each code gives the distance to an entry
 by adding up table entries (asymmetric distances).  The nearest entries by that
 measure are ranked anew by the exact distance of the original vectors.
 
-Lists are cut into chunks of bounded size, as are a list's queries, and each pair
-of chunks is one group, so no list has to fit in a task.
+Entries are dealt into bundles of bounded size, some short lists or a part of a
+long one, and a bundle's queries into chunks; each bundle and chunk is one group,
+so no list has to fit in a task.  A group returns of each query only the nearest.
 """
 
 from __future__ import annotations
@@ -129,7 +130,26 @@ def _encoded(shared):
     return run
 
 
+def bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each list its first bundle and the number of bundles it is dealt out over, and the number of all.
+
+    A bundle is some short lists, or a part of a long one, about CHUNK entries.
+    """
+    first, parts, number, fill = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if fill and fill + n > CHUNK:
+            number, fill = number + 1, 0
+        first[k], parts[k] = number, max(1, -(-n // CHUNK))
+        fill += n
+        if parts[k] > 1:
+            number, fill = number + int(parts[k]), 0
+    return first, parts, number + 1
+
+
 def _probing(shared, sizes: np.ndarray, share: float, enough: int):
+    """Of each query the lists that it looks at, a row for each bundle of them."""
+    first, parts, _ = bundles(sizes)
+
     def run(batches):
         model = shared.value
         for batch in batches:
@@ -140,10 +160,17 @@ def _probing(shared, sizes: np.ndarray, share: float, enough: int):
             probes = max(LEAST_PROBES, int(np.ceil(share * len(sizes))))
             # More lists where these hold few entries.
             need = np.maximum(probes, (np.cumsum(sizes[order], 1) < enough).sum(1) + 1)
-            need = np.minimum(need, len(sizes))
-            at = np.repeat(np.arange(len(x)), need)
-            lists = np.concatenate([order[i, :k] for i, k in enumerate(need)])
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at)), pa.array(lists, pa.int32()), batch.column("v").take(pa.array(at))], ["query_id", "list", "v"])
+            at, bundle, lists = [], [], []
+            for i, k in enumerate(np.minimum(need, len(sizes)).tolist()):
+                own: dict[int, list[int]] = {}
+                for number in np.sort(order[i, :k]).tolist():
+                    for b in range(int(first[number]), int(first[number] + parts[number])):
+                        own.setdefault(b, []).append(number)
+                at += [i] * len(own)
+                bundle += own
+                lists += own.values()
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(rows), pa.array(bundle, pa.int32()), pa.array(lists, pa.list_(pa.int32())), batch.column("v").take(rows)], ["query_id", "bundle", "lists", "v"])
 
     return run
 
@@ -151,20 +178,25 @@ def _probing(shared, sizes: np.ndarray, share: float, enough: int):
 def _searched(shared, keep: int):
     def run(key, entries, queries):
         model = shared.value
-        number = key[0].as_py()
         out_q, out_c, out_d = [], [], []
         if entries.num_rows and queries.num_rows:
-            cls = entries["cls"].to_numpy()
+            entries = entries.sort_by("list")
+            cls, lists = entries["cls"].to_numpy(), entries["list"].to_numpy()
             codes = np.frombuffer(b"".join(entries["code"].to_pylist()), np.uint8).reshape(len(cls), -1)
-            ids = queries["query_id"].to_numpy()
-            for q, v in zip(ids, _matrix(queries["v"])):
-                table = model.table(v, number)
-                d = np.zeros(len(cls), np.float32)
-                for k in range(codes.shape[1]):
-                    d += table[k][codes[:, k]]
+            numbers, begin = np.unique(lists, return_index=True)
+            where = {int(k): (int(s), int(e)) for k, s, e in zip(numbers, begin, np.append(begin[1:], len(lists)))}
+            for q, v, wanted in zip(queries["query_id"].to_pylist(), _matrix(queries["v"]), queries["lists"].to_pylist()):
+                spans = [(k, *where[k]) for k in wanted if k in where]
+                if not spans:
+                    continue
+                about = []
+                for number, s, e in spans:
+                    table = model.table(v, number)
+                    about.append(table[np.arange(codes.shape[1]), codes[s:e]].sum(1))
+                d, c = np.concatenate(about), np.concatenate([cls[s:e] for _, s, e in spans])
                 best = np.argpartition(d, keep - 1)[:keep] if len(d) > keep else np.arange(len(d))
                 out_q.append(np.full(len(best), q))
-                out_c.append(cls[best])
+                out_c.append(c[best])
                 out_d.append(d[best])
         c = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table({"query_id": c(out_q, pa.int64()), "cls": c(out_c, pa.int64()), "about": c(out_d, pa.float32())})
@@ -196,15 +228,16 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_k: int = NEAREST, sha
     for r in entries.groupBy("list").count().collect():  # as many rows as there are lists, MOST_LISTS at most
         sizes[r["list"]] = r["count"]
     keep = RERANK * nearest_k
-    probes = written(queries.select("query_id", "v").mapInArrow(tidied(_probing(shared, sizes, share, max(2 * keep, LEAST_ENTRIES))), "query_id long, list int, v array<double>"), "probes")
-    # Both sides of a list in chunks; again as many rows as lists.
-    cut = entries.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    asked = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("query_chunks"))
-    plan = F.broadcast(cut.join(asked, "list"))
-    left = entries.join(plan, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("query_chunk", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
-    right = probes.join(plan, "list").withColumn("query_chunk", F.pmod(F.xxhash64("query_id"), F.col("query_chunks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keys = ["list", "chunk", "query_chunk"]
-    found = left.select(*keys, "cls", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v").groupBy(*keys)).applyInArrow(_searched(shared, keep), "query_id long, cls long, about float")
+    first, parts, _ = bundles(sizes)
+    probes = written(queries.select("query_id", "v").mapInArrow(tidied(_probing(shared, sizes, share, max(2 * keep, LEAST_ENTRIES))), "query_id long, bundle int, lists array<int>, v array<double>"), "probes")
+    # A row a list, MOST_LISTS at most.
+    plan = F.broadcast(spark.createDataFrame([(k, int(b), int(n)) for k, (b, n) in enumerate(zip(first, parts))], "list int, first int, parts int"))
+    dealt = entries.join(plan, "list").withColumn("bundle", (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))).cast("int"))
+    asked = probes.groupBy("bundle").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("query_chunks"))
+    left = dealt.join(asked, "bundle").withColumn("query_chunk", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
+    right = probes.join(asked, "bundle").withColumn("query_chunk", F.pmod(F.xxhash64("query_id"), F.col("query_chunks")).cast("int"))
+    keys = ["bundle", "query_chunk"]
+    found = left.select(*keys, "cls", "list", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "lists", "v").groupBy(*keys)).applyInArrow(_searched(shared, keep), "query_id long, cls long, about float")
     best = Window.partitionBy("query_id").orderBy("about", "cls")
     short = found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= keep).select("query_id", "cls")
     exact = short.join(queries.withColumnRenamed("v", "q"), "query_id").join(whole, "cls").withColumn("score", distance("q", "v")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
