@@ -8,11 +8,10 @@ with one set are one class from the start.  Then:
     What returns is the answer for that pair and the *delta*: the shingles in
     one of the two only.  So a highly similar set stands for many others.
 2.  Pairs below one root are answered from the deltas.  |x xor y| is
-    |dx xor dy|, so with neither delta within the limit x and y can only be
-    linked if they share part of their deltas: an inverted index over (root,
-    delta shingle) finds those pairs, however many sets the root has.  Where
-    the deltas share nothing, a link between x and y means that both are linked
-    with the root, and nothing has to be computed.
+    |dx xor dy|.  Where the deltas share nothing, a link between x and y means that
+    both are linked with the root, and nothing has to be computed; all other links
+    share part of their deltas, and an inverted index over (root, delta shingle),
+    the rarest first, finds those pairs, however many sets the root has.
 3.  All other pairs come from an inverted index over prefixes of the sets.  Lists
     are cut into blocks in order of root, size and position; blocks are skipped
     by pairs when their roots, sizes or positions leave no link.
@@ -26,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, row_key, texts_beside, with_key, written
@@ -301,17 +300,22 @@ class NgramJoin:
         """Candidates among the sets of one root, from their deltas."""
         near = self._near()
         limit = F.floor((F.lit(100 - self.percent) * (F.col("n_a") + F.floor(F.lit(100) * F.col("n_a") / self.percent))) / (100 + self.percent)).cast("int")
-        # `delta` has the added shingles first, which are rare, then the complements of those that are gone.
-        prefix = F.slice("delta", F.lit(1), F.greatest(limit + 1, F.lit(1)))
-        rows = near.where(F.size("delta") > 0).select("a", "b", F.col("n_a").cast("int").alias("n"), F.size("delta").alias("len"), F.posexplode(prefix).alias("pos", "x"))
-        lists = rows.select(F.xxhash64("b", "x").alias("token"), F.col("a").alias("cls"), F.col("a").alias("grp"), "n", "pos", "len")
+        # Sets linked with their root are one group: nothing has to be found between them.
+        rows = near.where(F.size("delta") > 0).select(
+            "a", "b", F.col("n_a").cast("int").alias("n"), F.size("delta").alias("len"), limit.alias("limit"), F.when(self._linked(), F.col("b")).otherwise(F.col("a")).alias("grp"), F.explode("delta").alias("x")
+        )
+        often = rows.groupBy("b", "x").agg(F.count("*").alias("k"))
+        # The rarest first, so that prefixes hold what few others have; what no other has needs no list.
+        place = F.row_number().over(Window.partitionBy("a").orderBy("k", "x")) - 1
+        rows = rows.join(often, ["b", "x"]).withColumn("pos", place).where((F.col("pos") <= F.col("limit")) & (F.col("k") > 1))
+        lists = rows.select(F.xxhash64("b", "x").alias("token"), F.col("a").alias("cls"), "grp", "n", "pos", "len")
         p = self.percent
 
         def possible(x, y):
             a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
             h = F.floor(F.lit(100 - p) * (a("n") + b("n")) / (100 + p))
-            # Of the shorter delta, the shared part begins within its first h / 2 + 1 shingles.
-            begins = ((a("len") <= b("len")) & (a("pos") <= F.floor(h / 2))) | ((b("len") <= a("len")) & (b("pos") <= F.floor(h / 2)))
+            # The deltas share (|dx| + |dy| - h) / 2 or more; the first of it, the rarest, is no further back than leaves room for that.
+            begins = (2 * a("pos") <= a("len") - b("len") + h) & (2 * b("pos") <= b("len") - a("len") + h)
             return _ratio(a("n"), b("n"), p) & begins & (F.abs(a("len") - b("len")) <= h)
 
         def blocks(x, y):
