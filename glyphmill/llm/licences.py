@@ -96,8 +96,8 @@ RULES = (
 SIGNS = re.compile(rb"licen|copyright|permission|warrant|redistribut|public domain")
 
 _WORDS = re.compile(rb"[a-z0-9]+")
-#: A sentence ends at a mark before white space, at an empty line, or at the end.
-_END = re.compile(rb"[.!?:;](?=[\x20\x09-\x0D])|[.!?:;]?\Z|\n[\x20\x09]*\n")
+#: A sentence ends at a mark before white space, at a colon that ends a line, at an empty line, or at the end.
+_END = re.compile(rb"(?<!\x20v)[.!?](?=[\x20\x09-\x0D])|:(?=[\x20\x09\x0D]*\n)|[.!?:;]?\Z|\n[\x20\x09]*\n")
 
 
 def normal(sentence: bytes) -> bytes:
