@@ -198,12 +198,12 @@ def rewritten(docs: DataFrame) -> DataFrame:
     """docs, same columns, each text with only the lines that stay, null texts null; n_chars follows if there is one."""
     gone = keep_bitmaps(docs)
     names = docs.columns
-    joined = docs.withColumn("__key", row_key()).join(gone.withColumnRenamed("row_key", "__key"), "__key", "left")
+    joined = docs.withColumn("__key", row_key()).join(gone.withColumnsRenamed({"row_key": "__key", "dropped": "__dropped"}), "__key", "left")
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, dropped in zip(batch.column("text"), batch.column("dropped")):
+            for text, dropped in zip(batch.column("text"), batch.column("__dropped")):
                 t = text.as_py()
                 if t is not None and dropped.values is not None and len(dropped.values):
                     b = t.encode()
@@ -212,5 +212,5 @@ def rewritten(docs: DataFrame) -> DataFrame:
             columns = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    new = joined.select(*names, "dropped").mapInArrow(tidied(cut), docs.schema)
+    new = joined.select(*names, "__dropped").mapInArrow(tidied(cut), docs.schema)
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else new

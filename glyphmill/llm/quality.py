@@ -149,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     positive = mine.where("quality = 1").select("doc_id").distinct().orderBy(*by_hash).limit(POSITIVES).withColumn("positive", F.lit(1))
     other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out() & F.col("doc_id").isNotNull()).orderBy(*by_hash).limit(UNLABELLED).withColumn("positive", F.lit(0))
     sample = F.broadcast(positive.unionByName(other.distinct()))
-    drawn = with_key(docs).join(sample, "doc_id").select("positive", "text").mapInArrow(tidied(_featured(["positive"])), "positive int, x array<double>")
+    # Of rows that repeat a doc_id one, so that the sample keeps its bound.
+    one = with_key(docs).join(sample, "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text"))
+    drawn = one.select("positive", "text").mapInArrow(tidied(_featured(["positive"])), "positive int, x array<double>")
     rows = drawn.toArrow()
     flag = rows["positive"].to_numpy()
     x = np.array(rows["x"].combine_chunks().flatten(), float).reshape(-1, len(FEATURES)) if len(flag) else np.zeros((0, len(FEATURES)))

@@ -7,13 +7,13 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key string, score double, key int, place string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key string, score double, key int, place string, dropped int"
 EMPTY = [None, "", " ", "\n", "\n\n\n", "\t \r\n"]
 
 
 def rows(texts, first=0):
     """Rows of SCHEMA: the columns of documents and some whose names the operators use inside."""
-    return [(first + i, t, "en", "src0", len(t or ""), "x", 1.0, 2, "y") for i, t in enumerate(texts)]
+    return [(first + i, t, "en", "src0", len(t or ""), "x", 1.0, 2, "y", 3) for i, t in enumerate(texts)]
 
 
 def words(text):

@@ -233,7 +233,9 @@ def test_near_passages_in_a_large_group_and_clean_documents(spark):
     df = spark.createDataFrame(rows([" ".join(t) for t in texts + clean]), SCHEMA).repartition(5)
     got = {r.doc_id: r for r in passages.digest(df).collect()}
     assert set(got) == set(range(300))
-    assert all(60 <= x.n_repeated <= 90 for x in got.values())
+    # Two copies with changes in different places are alike enough only on one side of a change.
+    assert all(50 <= x.n_repeated <= 84 for x in got.values())
+    assert sum(x.n_repeated >= 76 for x in got.values()) >= 200
 
 
 def test_passages_awkward_texts(spark):
