@@ -72,11 +72,14 @@ def repeat_ratio(xs: Column, n: int) -> Column:
     return F.when(F.size(xs) >= 2 * n, (count - F.size(F.array_distinct(ngrams(xs, n)))) / count).otherwise(0.0)
 
 
+def repeated_starts(tokens: Column) -> Column:
+    """1 less the share of distinct first three tokens, from sentences as arrays of tokens."""
+    starts = F.filter(F.transform(tokens, lambda t: F.lower(F.array_join(F.slice(t, 1, 3), " "))), lambda x: x != "")
+    return let(starts, lambda s: F.when(F.size(s) > 0, 1 - F.size(F.array_distinct(s)) / F.size(s)).otherwise(0.0))
+
+
 def starter_repetition(sentences: Column) -> Column:
-    """1 less the share of distinct first three tokens."""
-    starts = F.filter(F.transform(sentences, lambda s: F.lower(F.array_join(F.slice(T.tokens(s), 1, 3), " "))), lambda x: x != "")
-    n = F.size(starts)
-    return F.when(n > 0, 1 - F.size(F.array_distinct(starts)) / n).otherwise(0.0)
+    return repeated_starts(F.transform(sentences, T.tokens))
 
 
 def punctuation_diversity(text: Column, pattern: str = T.PUNCTUATION, most: int = 12) -> Column:
@@ -118,8 +121,8 @@ def measured(docs: DataFrame, text: str = "text", compression: bool = True) -> D
     """docs with the metrics that panels are made of, each computed once a row."""
     t = F.col("__t")
     out = docs.withColumn("__t", T.trimmed(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumns({"__tokens": F.transform(T.tokens(t), F.lower), "__sentences": T.sentences(t), "__paragraphs": T.paragraphs(t)})
-    lens = F.filter(F.transform("__sentences", lambda s: T.occurrences(s, T.TOKEN)), lambda n: n > 0)
+    out = out.withColumns({"__tokens": F.transform(T.tokens(t), F.lower), "__sentences": F.transform(T.sentences(t), T.tokens), "__paragraphs": T.paragraphs(t)})
+    lens = F.filter(F.transform("__sentences", lambda s: F.size(s).cast("long")), lambda n: n > 0)
     out = out.withColumns({"__lens": lens, "__plens": F.transform("__paragraphs", lambda p: T.occurrences(p, T.TOKEN)), "language": T.panel_language(t)})
     return out.withColumns(
         {
@@ -133,7 +136,7 @@ def measured(docs: DataFrame, text: str = "text", compression: bool = True) -> D
             "entropy": entropy(frequency(F.col("__tokens"))),
             "repeat3": repeat_ratio(F.col("__tokens"), 3),
             "repeat4": repeat_ratio(F.col("__tokens"), 4),
-            "starters": starter_repetition(F.col("__sentences")),
+            "starters": repeated_starts(F.col("__sentences")),
             "punctuation": punctuation_diversity(t),
             "markers": T.ascii_discourse_count(t, F.col("language")),
             "residue": T.residue_count(t),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fixture_queries, table_queries, text_queries
+from . import fixture_queries, table_queries, text_queries, verdict_queries
 
-_ALL = (*text_queries.QUERIES, *table_queries.QUERIES, *fixture_queries.QUERIES)
+_ALL = (*text_queries.QUERIES, *table_queries.QUERIES, *fixture_queries.QUERIES, *verdict_queries.QUERIES)
 
 
 def queries() -> dict:

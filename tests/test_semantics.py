@@ -356,3 +356,39 @@ def test_files_are_read_by_kind_and_size(spark, tmp_path):
     files.append_scans(spark.sql("select 1 id, timestamp '2024-01-02 03:04:05' created_at"), str(out))
     files.append_scans(spark.sql("select 2 id, timestamp '2024-01-02 05:04:05' created_at"), str(out))
     assert spark.read.parquet(str(out)).count() == 2
+
+
+# --- ladders and adapters ----------------------------------------------------
+
+
+def rows_of(spark, name):
+    from glyphmill.plans import catalogue
+
+    return {r.asset_id: r for r in catalogue.queries()[name](spark, "").collect()}
+
+
+def test_boosts_and_regions(spark):
+    assert {k: r.score for k, r in rows_of(spark, "image_boosts").items()} == {"a": 98, "b": 96, "c": 9, "d": 50}
+    assert {k: (r.shown, r.votes) for k, r in rows_of(spark, "image_credible_regions").items()} == {"a": (80, 2), "b": (76, 3), "d": (20, 0)}
+
+
+def test_document_chain(spark):
+    from glyphmill.plans import catalogue
+
+    got = [(r.asset_id, r.id, r.status, r.score) for r in catalogue.queries()["document_chain"](spark, "").orderBy("asset_id", "position").collect()]
+    assert got[0] == ("a", "known_identity", "verified", 100)
+    assert got[2] == ("a", "editing_sessions", "retained", 73)
+    assert ("b", "authorship_regions", "unavailable", 0) in got and got[-1] == ("b", "assembly", "observed", 0)
+
+
+def test_consensus_ladder(spark):
+    from glyphmill.operators import verdicts
+
+    cases = [(0, 0, 0, 80.0, "X", True, "VERIFIED_AI_PROVENANCE"), (2, 0, 0, 0.0, "X", False, "HIGH_AI_SIGNAL"), (1, 1, 0, 0.0, "X", False, "AI_OR_AI_ASSISTED"), (1, 0, 0, 80.0, "X", False, "HIGH_AI_SIGNAL"), (1, 0, 1, 80.0, "X", False, "INCONCLUSIVE"), (0, 1, 0, 10.0, "X", False, "AI_ASSISTED_SIGNAL"), (0, 0, 0, 10.0, "AI_RESIDUE", False, "AI_RESIDUE_FOUND"), (0, 0, 0, 60.0, "X", False, "MODERATE_LOCAL_AI_SIGNAL"), (0, 0, 2, 10.0, "X", False, "NO_AI_SIGNAL_FROM_ENSEMBLE"), (0, 0, 0, 10.0, "X", False, "INCONCLUSIVE")]
+    d = spark.createDataFrame(cases, "ai int, mixed int, human int, ensemble double, ensemble_verdict string, verified boolean, want string")
+    assert verdicts.consensus(d).where("consensus <> want").count() == 0
+
+
+def test_absent_tools_and_flat_metadata(spark):
+    flat = {k: r.fields for k, r in rows_of(spark, "flat_metadata").items()}
+    assert flat == {"a": '{"exif.Make":"Canon","exif.n":"2"}', "b": "{}", "c": "{}"}
