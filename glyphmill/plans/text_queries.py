@@ -303,6 +303,19 @@ def doc_disclosures(spark, sf_dir):
     return evidence.findings(with_notes(spark, sf_dir)).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "type", "quote", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+_KINDS = [("ai_use_disclosure", evidence.DISCLOSURES[0].replace("(?iu)", "(?i)")), ("ai_use_disclosure", evidence.DISCLOSURES[1].replace("(?iu)", "(?i)")), ("ai_use_disclosure", r"(?i)\b(?:I|we)\s+(?:used|have used)\s+(?:an?\s+)?(?:AI|ChatGPT|Claude|Gemini)\b"), ("ai_use_disclosure", evidence.DISCLOSURES[3]), ("assistant_phrase", evidence.ASSISTANT.replace("(?iu)", "(?i)"))]
+doc_disclosures.sql = rf"""
+with recursive {NOTES_SQL}, a as (select doc_id, string_split(replace(text, chr(13), chr(10)), chr(10)) p from documents_and_notes), b as (select doc_id, unnest(p) t, generate_subscripts(p, 1) i from a),
+c as (select *, sum(length(t) + 1) over (partition by doc_id order by i) - length(t) - 1 s0 from b), d as (select doc_id, t, s0, row_number() over (partition by doc_id order by i) - 1 paragraph from c where t <> ''),
+e as (select *, regexp_matches(t, '["“”«»]') or regexp_matches(t, '(?i)(?:^|\s)(?:לא|ללא|איני|لم|لن)(?:\s|$)|\b(?:not|never|didn''t|without)\b') or regexp_matches(t, '(?i)מחקר|למשל|לדוגמ[הא]|ציטוט|כדוגמה|אמר|שאלון|\b(?:example|quote|questionnaire|said|study)\b') g, coalesce(bool_or(contains(t, '{evidence.SECTION}')) over (partition by doc_id order by paragraph rows between 3 preceding and 1 preceding), false) below from d),
+f as ({" union all ".join(f"select doc_id, paragraph, t, s0, '{k}' type, {n} n, regexp_extract_all(t, '{p}') q from e where {'not g' if k == 'ai_use_disclosure' else 'true'}" for n, (k, p) in enumerate(_KINDS))}),
+h as (select doc_id, paragraph, type, s0, n, q, 1 j, t rest, 0 gone from f where len(q) > 0 union all select doc_id, paragraph, type, s0, n, q, j + 1, rest[strpos(rest, q[j]) + length(q[j]):], gone + strpos(rest, q[j]) + length(q[j]) - 1 from h where j < len(q)),
+k as (select doc_id, paragraph, type, q[j] quote, s0 + gone + strpos(rest, q[j]) - 1 s from h)
+select doc_id, paragraph, type, quote, cast(s as bigint) "start", cast(s + length(quote) as bigint) "end" from k
+union all select doc_id, paragraph, 'ai_use_disclosure', t, cast(s0 as bigint), cast(s0 + length(t) as bigint) from e where below and regexp_matches(t, '{evidence.SECTION_YES}') and not regexp_matches(t, '{evidence.SECTION_NO}') and not exists (select 1 from k where k.doc_id = e.doc_id and k.paragraph = e.paragraph and k.type = 'ai_use_disclosure')
+"""
+
+
 def doc_verdict(spark, sf_dir):
     """Status and verdict of every document."""
     return evidence.verdicts(with_notes(spark, sf_dir))

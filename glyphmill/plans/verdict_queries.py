@@ -10,7 +10,7 @@ from glyphmill.operators import evidence, verdicts
 from glyphmill.sources import adapters, media
 
 from . import fixtures as X
-from .text_queries import CUT, TOKEN, _docs, _repeat_sql, _residue_sql, round6
+from .text_queries import CUT, TOKEN, _docs, _repeat_sql, _residue_sql, doc_greedy_windows, doc_panel_metrics, round6
 
 
 def doc_legacy_style(spark, sf_dir):
@@ -52,6 +52,19 @@ def doc_legacy_verdict(spark, sf_dir):
     return verdicts.consensus(verdicts.local_ensemble(d).withColumns(votes)).select("doc_id", "ensemble", "ensemble_verdict", "ensemble_confidence", "consensus")
 
 
+doc_legacy_verdict.sql = rf"""
+with s as ({doc_legacy_style.sql}),
+m as (select doc_id, len(regexp_extract_all(text, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}\x{{00AD}}]')) + len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_matches(x, '[A-Za-z]') and regexp_matches(x, '[\x{{0400}}-\x{{04FF}}\x{{0370}}-\x{{03FF}}]'))) ev,
+ {_residue_sql(T.LEGACY_RESIDUE)} residue, len(list_filter([{", ".join(repr(x) for x in T.TOOL_NAMES)}], lambda x: contains(lower(text), x))) gen from documents),
+e as (select s.*, ev, residue, gen, (rhythm + lexical + discourse + surface + predictability) / 5 pm, (case when rhythm >= 55 then 1 else 0 end) + (case when lexical >= 55 then 1 else 0 end) + (case when discourse >= 55 then 1 else 0 end) + (case when surface >= 55 then 1 else 0 end) + (case when predictability >= 55 then 1 else 0 end) strong from s join m using (doc_id)),
+f as (select *, round(least(100.0, pm + (case when strong >= 3 then 12 else 0 end) + (case when residue > 0 then 25 else 0 end) + least(12, ev) + (case when gen > 0 then 20 else 0 end)), 1) ensemble, case when doc_id % 5 = 0 then 1 else 0 end a, case when doc_id % 7 = 0 then 1 else 0 end x, case when doc_id % 11 = 0 then 1 else 0 end h, doc_id % 13 = 0 v from e),
+g as (select *, case when residue > 0 then 'AI_RESIDUE' when ensemble >= 72 then 'STRONG_LOCAL_AI_SIGNAL' when ensemble >= 54 then 'MODERATE_LOCAL_AI_SIGNAL' when ensemble >= 38 then 'WEAK_LOCAL_AI_SIGNAL' else 'NO_STRONG_LOCAL_AI_SIGNAL' end ensemble_verdict from f)
+select doc_id, ensemble, ensemble_verdict, case when words >= 650 and strong >= 3 then 'medium-high' when words >= 280 and strong >= 2 then 'medium' when words >= 140 then 'low-medium' else 'low' end ensemble_confidence,
+ case when v then 'VERIFIED_AI_PROVENANCE' when a + x >= 2 and h = 0 then case when x > 0 then 'AI_OR_AI_ASSISTED' else 'HIGH_AI_SIGNAL' end when a + x >= 1 and ensemble >= 72 and h = 0 then 'HIGH_AI_SIGNAL' when a + x >= 1 and h >= 1 then 'INCONCLUSIVE' when a + x = 1 then case when x > 0 then 'AI_ASSISTED_SIGNAL' else 'AI_SIGNAL' end
+ when ensemble_verdict = 'AI_RESIDUE' then 'AI_RESIDUE_FOUND' when ensemble >= 72 then 'STRONG_LOCAL_AI_SIGNAL' when ensemble >= 54 then 'MODERATE_LOCAL_AI_SIGNAL' when h >= 2 then 'NO_AI_SIGNAL_FROM_ENSEMBLE' else 'INCONCLUSIVE' end consensus from g
+"""
+
+
 def doc_final_decision(spark, sf_dir):
     """The later ladder, its band, and whether a document's windows differ."""
     d = M.with_panels(M.measured(_docs(spark, sf_dir), compression=False)).withColumns({"process": (F.col("doc_id") * 13 % 100).cast("int"), "generators": (F.col("doc_id") % 40 == 0).cast("int"), "verified": F.col("doc_id") % 90 == 7})
@@ -60,6 +73,15 @@ def doc_final_decision(spark, sf_dir):
     return out.join(evidence.change_points(windows).select("doc_id", "mixed"), "doc_id", "left")
 
 
+doc_final_decision.sql = rf"""
+with p as (select *, cast(doc_id * 13 % 100 as integer) pr, doc_id % 40 = 0 gen, doc_id % 90 = 7 ver from ({doc_panel_metrics.sql})),
+w as (select doc_id, case when count(*) >= 3 and max(words) - min(words) >= 32 then 'review' else 'none' end mixed from ({doc_greedy_windows.sql}) group by doc_id)
+select doc_id, case when ver then 'VERIFIED_AI_PROVENANCE' when gen then 'AI_TOOL_METADATA_FOUND' when residue > 0 then 'AI_RESIDUE_FOUND' when pr >= 80 and predictability >= 55 and repeat3 >= 0.04 then 'STRONG_GENERATIVE_ASSEMBLY_SIGNAL' when local_score >= 70 and pr >= 45 then 'STRONG_AI_AUTHORSHIP_SIGNAL' when local_score >= 68 then 'STRONG_AI_STYLE_SIGNAL' when local_score >= 48 or pr >= 60 then 'AI_OR_ASSEMBLY_SIGNAL' else 'INCONCLUSIVE' end verdict,
+ case when ver then 'verified' when gen then 'high' when residue > 0 then case when local_score >= 55 then 'high' else 'medium-high' end when pr >= 80 and predictability >= 55 and repeat3 >= 0.04 then 'medium-high' when local_score >= 70 and pr >= 45 then 'medium-high' when local_score >= 68 then 'medium' when local_score >= 48 or pr >= 60 then 'low-medium' else 'low' end confidence,
+ case when local_score >= 75 then 'high' when local_score >= 55 then 'medium' when local_score >= 35 then 'low' else 'minimal' end band, mixed from p left join w using (doc_id)
+"""
+
+
 def image_boosts(spark, sf_dir):
     """Origin scores after container markers and perceptual matches."""
     rows = [("a", 50, ["x"], False, "none", 0.1, 0.1, 0.0), ("b", 50, [], False, "ai", 0.95, 0.5, 0.1), ("c", 80, [], False, "human", 0.2, 0.97, -0.5), ("d", 50, [], True, "ai", 0.95, 0.5, 0.1)]
