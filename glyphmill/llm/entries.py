@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, jaccard, licences, lines, packing, passages, pii, quality, secret_scan
+from . import ann, decontam, jaccard, licences, lines, oracles, packing, passages, pii, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontam": oracles.OP8, "op9_lines": oracles.OP9, "op10_jaccard": oracles.OP10}
