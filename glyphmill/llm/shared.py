@@ -58,10 +58,14 @@ def texts_beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     if need.count() * 64 <= BROADCAST_BYTES:
         need = F.broadcast(need)
     texts = texts.select("row_key", "text").join(need, "row_key", "left_semi").dropDuplicates(["row_key"])
-    copies = pairs.groupBy("key_b").agg(F.ceil(F.count("*") / PAIRS_A_TEXT).cast("int").alias("copies"))
+    hot = written(pairs.groupBy("key_b").agg(F.ceil(F.count("*") / PAIRS_A_TEXT).cast("int").alias("copies")).where("copies > 1"), "hot")
+    # Joined without dealing the pairs out by key_b, where many would meet, as long as the list is short.
+    if hot.count() * 16 <= BROADCAST_BYTES:
+        hot = F.broadcast(hot)
+    copies = F.coalesce("copies", F.lit(1))
     left = texts.select(F.col("row_key").alias("key_a"), F.col("text").alias("text_a"))
-    right = texts.join(copies, texts["row_key"] == copies["key_b"]).select("key_b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    numbered = pairs.join(copies, "key_b").withColumn("copy", F.pmod(F.xxhash64("key_a"), F.col("copies")).cast("int")).drop("copies")
+    right = texts.withColumnsRenamed({"row_key": "key_b", "text": "text_b"}).join(hot, "key_b", "left").select("key_b", "text_b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    numbered = pairs.join(hot, "key_b", "left").withColumn("copy", F.pmod(F.xxhash64("key_a"), copies).cast("int")).drop("copies")
     return numbered.join(left, "key_a").join(right, ["key_b", "copy"]).drop("key_a", "key_b", "copy")
 
 
