@@ -238,6 +238,16 @@ def test_near_passages_in_a_large_group_and_clean_documents(spark):
     assert sum(x.n_repeated >= 76 for x in got.values()) >= 200
 
 
+def test_passages_of_many_families_with_one_frame(spark):
+    r = random.Random(3)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    frame = prose(45)
+    texts = [prose(60) + frame + tail + prose(60) for tail in [prose(10) for _ in range(10)] for _ in range(2)]
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts]), SCHEMA)
+    got = {d.doc_id: covered(d.passages, len(texts[0])) for d in passages.digest(df).collect()}
+    assert all(d in got and got[d][60:115].all() for d in range(20))
+
+
 def test_passages_awkward_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     texts = [*EMPTY, "same " * 30_000, "same " * 20_000, long, long.upper(), long + " more", " ".join(f"w{i}" for i in range(49)), "a b " * 100]
