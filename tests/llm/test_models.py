@@ -248,6 +248,28 @@ def test_passages_of_many_families_with_one_frame(spark):
     assert all(d in got and got[d][60:115].all() for d in range(20))
 
 
+def test_passages_like_a_member_but_not_the_first(spark):
+    r = random.Random(4)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts, last = [], []
+    for _ in range(40):
+        a = prose(52)
+        b = [*a[:12], "changed", *a[13:]]
+        c = [*b[:38], "again", *b[39:]]
+        last.append(len(texts) + 2)
+        texts += [prose(30) + p + prose(30) for p in (a, b, c)]
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts]), SCHEMA)
+    p = passages.Passages(df)
+    p.describe()
+    pairs = p.candidates().select("pair", "doc").distinct().collect()
+    by = defaultdict(set)
+    for x in pairs:
+        by[x.pair].add(x.doc)
+    near = {d for d in last if any({d, d - 1} <= m for m in by.values())}
+    got = {x.doc_id for x in p.documents().collect()}
+    assert len(near) > 25 and near <= got
+
+
 def test_passages_awkward_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     texts = [*EMPTY, "same " * 30_000, "same " * 20_000, long, long.upper(), long + " more", " ".join(f"w{i}" for i in range(49)), "a b " * 100]
