@@ -238,6 +238,31 @@ def test_near_passages_in_a_large_group_and_clean_documents(spark):
     assert sum(x.n_repeated >= 76 for x in got.values()) >= 200
 
 
+def value_pairs(s):
+    first, found = np.array([0, len(s)]), []
+    for fn in range(passages.HASHES):
+        v = passages.mix(s ^ passages.SEEDS[fn])
+        l, c, r = passages.compact_windows(v, first, 46)  # noqa: E741
+        found.append((passages._signed(v[c] << np.uint64(2) | np.uint64(fn)), np.full(len(c), fn), c, l, r))
+    token, fn, c, l, r = (np.concatenate(x) for x in zip(*found))  # noqa: E741
+    i, j = passages.crossed(np.zeros(len(c), np.int64), token, fn, c, l, r, 46)
+    return set(zip(token[i].tolist(), token[j].tolist()))
+
+
+def test_recall_of_near_passages_at_the_threshold():
+    r = np.random.default_rng(5)
+    prose = lambda n: r.integers(1, 1 << 63, n).astype(np.uint64)
+    met = 0
+    for _ in range(1000):
+        # 50 words of which one is changed: 5 of 46 shingles, a similarity of .80.
+        a = prose(46)
+        b = a.copy()
+        k = r.integers(1, 40)
+        b[k : k + 5] = prose(5)
+        met += bool(value_pairs(np.concatenate([prose(60), a, prose(60)])) & value_pairs(np.concatenate([prose(60), b, prose(60)])))
+    assert met >= 985
+
+
 def test_passages_of_many_families_with_one_frame(spark):
     r = random.Random(3)
     prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
