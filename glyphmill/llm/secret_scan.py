@@ -33,9 +33,9 @@ KINDS = ("assign", "access", "hex")
 
 #: Weak parts: role, pattern, group that is the part.
 WEAK = (
-    ("id", re.compile(rb"(?<![a-z0-9_])((?:client|app|account|access|user|tenant|aws)[_-]?(?:key[_-]?)?id|username|login|user)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?([a-z0-9][a-z0-9_.@-]{3,63})"), 2),
-    ("value", re.compile(rb"(?<![a-z0-9_])((?:client|app|account|access|shared|private|auth|signing)[_-]?(?:key|pass|pwd|credential)|pwd|passphrase|credential|bearer|signature)[\"']?\x20{0,3}[:=\x20]\x20{0,3}[\"']?([a-z0-9+/_=-]{8,200})"), 2),
-    ("endpoint", re.compile(rb"(?<![a-z0-9_])((?:https?|ftp|amqp|redis|mongodb|postgres(?:ql)?|mysql|s3)://[a-z0-9._-]{3,200}|[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,5}\.(?:amazonaws|azure|googleapis|database\.windows)\.[a-z]{2,3})"), 1),
+    ("id", re.compile(rb"(?<![a-z0-9_])((?:client|app|account|access|user|tenant|aws)[_-]?(?:key[_-]?)?id|username|login|user)[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?([a-z0-9][a-z0-9_.@-]{3,}+)"), 2),
+    ("value", re.compile(rb"(?<![a-z0-9_])((?:client|app|account|access|shared|private|auth|signing)[_-]?(?:key|pass|pwd|credential)|pwd|passphrase|credential|bearer|signature)[\"']?\x20{0,3}[:=\x20]\x20{0,3}[\"']?([a-z0-9+/_=-]{8,}+(?:\.[a-z0-9+/_=-]+)*+)"), 2),
+    ("endpoint", re.compile(rb"(?<![a-z0-9_])((?:https?|ftp|amqp|redis|mongodb|postgres(?:ql)?|mysql|s3)://[a-z0-9._-]{3,}+|(?<![.-])[a-z0-9-]++(?:\.[a-z0-9-]++)*\.(?:amazonaws|azure|googleapis|database\.windows)\.[a-z]{2,3})"), 1),
 )
 #: What any weak part has; texts without it have none.
 WEAK_SIGN = re.compile(rb"[:=]|bearer|passphrase|credential|signature|\.amazonaws|\.azure|\.googleapis|\.windows\.")
@@ -128,19 +128,19 @@ def in_points(text: bytes, spans: list[tuple[int, str, int]]) -> list[tuple[int,
 
 
 def texts_with(data: bytes, offsets: np.ndarray) -> np.ndarray:
-    """Numbers of a slab's texts that may have anything at all to report."""
+    """Numbers of a slab's texts that may have anything at all to report.
+
+    A line feed, which no pattern has, is put between texts, so that no find goes
+    on from one text into the next.
+    """
+    apart = np.insert(np.frombuffer(data, np.uint8), offsets[1:-1], 10)
+    begin = offsets[:-1] + np.arange(len(offsets) - 1)
+    data = apart.tobytes()
     low = data.translate(ASCII_LOWER)
     at = [m.start() for m in ASSIGN_WORDS.finditer(low)] + [m.start() for m in re.finditer(b"AKIA", data)]
-    at += [s for s, _ in runs(np.frombuffer(data, np.uint8), HEX_CHARS)]
+    at += [s for s, _ in runs(apart, HEX_CHARS)]
     at += [m.start() for m in WEAK_SIGN.finditer(low)]
-    # A match may begin in one text and end in the next, so both are taken.
-    k = np.searchsorted(offsets, np.array(at, np.int64), "right") - 1
-    ends = np.searchsorted(offsets, np.array(at, np.int64) + 1024, "right") - 1
-    found = np.zeros(len(offsets), bool)
-    found[k] = True
-    for a, b in zip(k[ends > k].tolist(), ends[ends > k].tolist()):
-        found[a : b + 1] = True
-    return np.flatnonzero(found[:-1])
+    return np.unique(np.searchsorted(begin, np.array(at, np.int64), "right") - 1)
 
 
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
@@ -191,7 +191,11 @@ def counted(found: DataFrame, kinds: tuple[str, ...], by_start: bool) -> DataFra
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What query op4_secrets returns."""
+    """What query op4_secrets returns: a row a document.
+
+    Null and empty texts have no spans; texts of any length are searched whole;
+    repeated rows repeat, an empty table gives an empty one.
+    """
     return counted(scan(docs), KINDS, by_start=True)
 
 

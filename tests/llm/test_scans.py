@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -131,6 +132,28 @@ def test_secrets_awkward_texts(spark):
     assert secret_scan.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_nothing_is_lost_where_texts_meet(spark):
+    texts = ["x " + "a" * 3000, "b" * 3000, "z " + "ab" * 700, "0123456789abcdef0123 rest", "tok", "en=abcdefghijklmnop", "secr", "etoken=abcdefghijklmnop", "AKI", "AKIAABCDEFGHIJKLMNO", "0" * 15, "0" * 15]
+    check_secrets(spark.createDataFrame(rows(texts), SCHEMA).coalesce(1))
+    r = random.Random(11)
+    for _ in range(300):
+        made = [r.choice(["", " ", "g"]).join(r.choice(["a" * r.randrange(40), "0f" * r.randrange(900), "token", "=", "AKIA", "ABCDEFGHIJKLMNO", "x\n", "pass", "word: ", "api", "_key", "bearer ", "é"]) for _ in range(r.randrange(6))) for _ in range(r.randrange(1, 12))]
+        data = [t.encode() for t in made]
+        offsets = np.cumsum([0, *map(len, data)])
+        may = set(secret_scan.texts_with(b"".join(data), offsets).tolist())
+        for k, t in enumerate(data):
+            strong = secret_scan.base_spans(t)
+            assert k in may or not strong + secret_scan.linked(t, strong)
+
+
+def test_weak_parts_are_whole(spark):
+    parts = ["client_id=" + "x1" * 100, "bearer " + "y2" * 300 + "." + "z3" * 50, "https://" + "h." * 300 + "example"]
+    text = " ".join(parts)
+    got = {x.split(":")[0]: x.split(":") for x in secret_scan.digest(spark.createDataFrame(rows([text]), SCHEMA)).first().spans.split(",")}
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    assert [int(got[f"pair-{k}"][2]) for k in ("id", "value", "endpoint")] == ends.tolist()
+
+
 def test_weak_parts_are_reported_only_together(spark):
     a, b, c = "client_id: appl-77121", "client_key=zzzz1111yyyy22", "https://api.example.com/x"
     texts = [a, b, c, f"{a} and {b}", f"{a}\n\n{b}", f"{a} {'x' * 500} {b}", f"{c} {b}", f"{a} {a}", f"{a} AKIAABCDEFGHIJKLMNO", f"{a} token=abcdefghijklmnop"]
