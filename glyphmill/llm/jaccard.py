@@ -138,24 +138,21 @@ def _prefixes(frequent, w: int, percent: int):
     return run
 
 
-def shared_lists(names: list[str]):
-    """Of rows sorted by the first two names, token and class: those whose token other classes have too.
+def shared_lists(names: list[str], own: int = 2):
+    """Of rows sorted by the first `own` names, of which two are token and class: those whose token other classes have too.
 
-    Of rows of one token and class the first; a partition's first and last list
+    Of rows that agree in these names the first; a partition's first and last list
     whole, as they may go on elsewhere.
     """
 
     def settle(held, edge):
         columns = [np.concatenate(c) for c in zip(*held)]
-        token, cls = columns[:2]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in columns[:own]], axis=0))
         columns = [c[new] for c in columns]
-        token = columns[0]
-        head = np.ones(len(token), bool)
-        head[1:] = token[1:] != token[:-1]
+        token, cls = columns[:2]
+        head = np.append(True, token[1:] != token[:-1])
         run = np.cumsum(head) - 1
-        keep = np.bincount(run)[run] > 1
+        keep = np.bincount(run, np.append(True, (cls[1:] != cls[:-1]) | head[1:]))[run] > 1
         keep |= ((run == 0) & edge[0]) | ((run == run[-1]) & edge[1])
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
 

@@ -180,20 +180,26 @@ def test_quality_awkward_texts(spark, data):
 
 def test_compact_windows_against_brute_force():
     r = np.random.default_rng(0)
-    for _ in range(100):
+    for k in range(200):
         first = np.append(0, np.cumsum(r.integers(0, 40, 4)))
         v = r.integers(1, r.integers(2, 60), first[-1]).astype(np.uint64)
-        want = set()
+        if k % 2:
+            # The same words again and again.
+            v = np.resize(v[: r.integers(1, 9)], len(v)) if len(v) else v
+            v[r.integers(0, max(len(v), 1), k % 5 if len(v) else 0)] += np.uint64(1)
+        windows = set(zip(*(x.tolist() for x in passages.compact_windows(v, first, 5))))
         for d in range(4):
-            for i in range(first[d], first[d + 1]):
-                a, b = i - 1, i + 1
-                while a >= first[d] and v[a] > v[i]:
-                    a -= 1
-                while b < first[d + 1] and v[b] >= v[i]:
-                    b += 1
-                if not (a >= first[d] and v[a] == v[i]) and b - a - 1 >= 5:
-                    want.add((a + 1, i, b - 1))
-        assert set(zip(*(x.tolist() for x in passages.compact_windows(v, first, 5)))) == want
+            for begin in range(first[d], first[d + 1]):
+                for end in range(begin + 4, first[d + 1]):
+                    c = begin + int(v[begin : end + 1].argmin())
+                    mine = [w for w in windows if w[1] == c]
+                    assert all(w[0] <= begin and end <= w[2] for w in mine)
+                    # Without a window, the places of least width around c repeat what is further left.
+                    if not mine and end == begin + 4:
+                        left = max(i for i in range(first[d], c) if v[i] == v[c])
+                        assert v[begin : end + 1].tolist() == v[begin - c + left : end + 1 - c + left].tolist()
+    # Not every place of a text of one word has a window.
+    assert len(passages.compact_windows(np.ones(1000, np.uint64), np.array([0, 1000]), 46)[0]) < 100
 
 
 def covered(spans, n):
@@ -295,6 +301,66 @@ def test_passages_like_a_member_but_not_the_first(spark):
     assert len(near) > 25 and near <= got
 
 
+def test_all_places_of_a_passage_within_documents(spark):
+    r = random.Random(6)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    p, q = prose(60), prose(70)
+    near = [*q[:30], "changed", *q[31:]]
+    texts = [prose(30) + p + prose(30) + p + prose(20), prose(10) + p + prose(50), prose(20) + q + prose(40) + near + prose(100) + q[:20], prose(40) + q, q[:30] + prose(40) + near + prose(5) + q + p]
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts]), SCHEMA)
+    got = {x.doc_id: x.passages for x in passages.digest(df).collect()}
+    assert got == {0: "30:90,120:180", 1: "10:70", 2: "20:90,130:200", 3: "40:110", 4: "70:140,145:275"}
+    assert {x.doc_id: x.n_repeated for x in passages.digest(df).collect()} == {0: 120, 1: 60, 2: 140, 3: 70, 4: 200}
+
+
+def test_insertions_longer_than_the_slack(spark):
+    r = random.Random(7)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(10):
+        a, b = prose(150), prose(95)
+        texts += [prose(60) + a + prose(60), prose(60) + a[:40] + prose(15) + a[40:] + prose(60), prose(60) + b + prose(60), prose(60) + b[:47] + prose(13) + b[47:] + prose(60)]
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts]), SCHEMA)
+    got = {x.doc_id: x.passages for x in passages.digest(df).collect()}
+    want = ["60:210", "60:225", "60:155", "60:168"]
+    assert sum(got.get(d) == want[d % 4] for d in range(40)) >= 36
+
+
+def test_recall_of_near_passages_against_brute_force(spark):
+    """One passage in many documents with two words changed in each, and isolated pairs with one."""
+    r = random.Random(9)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, family = prose(70), []
+    for _ in range(200):
+        p = list(passage)
+        for k in r.sample(range(70), 2):
+            p[k] = f"x{r.randrange(10**6)}"
+        family.append(p)
+    sets = [[hash(tuple(p[i : i + 5])) for i in range(66)] for p in family]
+
+    def alike(x, y):
+        # The stretch of all words; else, of 50 words or more at the same places, one that is alike.
+        for size in (66, 60, 54, 50, 46):
+            for i in range(0, 67 - size):
+                a, b = set(x[i : i + size]), set(y[i : i + size])
+                if len(a & b) >= 0.8 * len(a | b):
+                    return True
+        return False
+
+    want = {d for d in range(200) if any(alike(sets[d], sets[e]) for e in range(200) if e != d)}
+    texts = [prose(r.randrange(200)) + p + prose(r.randrange(200)) for p in family]
+    for size in (50, 52, 55, 60) * 50:
+        p = prose(size)
+        k = r.randrange(size)
+        texts += [prose(50) + p + prose(50), prose(50) + [*p[:k], "changed", *p[k + 1 :]] + prose(50)]
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts]), SCHEMA).repartition(4)
+    got = {x.doc_id for x in passages.digest(df).collect()}
+    pairs = [d in got and d + 1 in got for d in range(200, 600, 2)]
+    print("near recall:", len(want & got) / len(want), len(want), sum(pairs) / len(pairs))
+    assert len(want & got) >= 0.9 * len(want)
+    assert sum(pairs) >= 0.9 * len(pairs)
+
+
 def test_passages_awkward_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     texts = [*EMPTY, "same " * 30_000, "same " * 20_000, long, long.upper(), long + " more", " ".join(f"w{i}" for i in range(49)), "a b " * 100]
