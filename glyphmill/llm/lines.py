@@ -120,8 +120,14 @@ def _streamed(least_docs: int):
     return run
 
 
+def _packed(batches):
+    for batch in batches:
+        keep = [bitmap(x.values.to_numpy()) for x in batch.column("dropped")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row_key"), pa.array(keep, pa.binary())], ["doc", "row_key", "keep"])
+
+
 def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, partitions: int | None = None) -> DataFrame:
-    """(doc_id, row_key, dropped): positions of the lines to drop, for the documents that lose any.
+    """(doc, row_key, keep) of the documents that lose lines: see ``bitmap``; doc is doc_id, NO_ID where that is null.
 
     A line's key is the line without white space at its ends, A-Z in lower case.
     Keys of ``least_chars`` code points or more that ``least_docs`` documents hold
@@ -130,87 +136,82 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = with_key(docs).mapInArrow(tidied(_hashed(least_chars)), LINES)
+    # Written, as the cuts of the ranges take a pass over them of their own.
+    lines = written(with_key(docs).mapInArrow(tidied(_hashed(least_chars)), LINES), "line-hashes")
     order = ["h1", "h2", F.col("doc").desc(), "pos"]
     found = lines.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order)
     found = written(found.mapInArrow(tidied(_streamed(least_docs)), STREAM), "line-runs")
     # At most two rows a partition, so this side is small whatever the input.
     whole = found.where(F.col("kind") == RUN).groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("keeper"))
     late = found.where(F.col("kind") == OPEN).join(F.broadcast(whole), ["h1", "h2"]).where((F.col("all_docs") >= least_docs) & (F.col("doc") < F.col("keeper")))
-    drops = found.where(F.col("kind") == DROP).select("row_key", "pos").unionByName(late.select("row_key", "pos"))
-    return drops.groupBy("row_key").agg(F.collect_set("pos").alias("dropped"))
+    columns = ["doc", "row_key", "pos"]
+    drops = found.where(F.col("kind") == DROP).select(*columns).unionByName(late.select(*columns))
+    dropped = drops.groupBy("doc", "row_key").agg(F.collect_set("pos").alias("dropped"))
+    return dropped.mapInArrow(tidied(_packed), "doc long, row_key long, keep binary")
 
 
-def bitmap(n: int, dropped) -> bytes:
-    """One bit a line, 1: keep; the bits of the last byte beyond n are 1; compressed."""
-    keep = np.ones(n + -n % 8, bool)
-    keep[np.asarray(dropped, np.int64)] = False
+def bitmap(dropped) -> bytes:
+    """One bit a line, 0: drop, 1: keep, compressed; lines beyond the last bit are kept."""
+    dropped = np.asarray(dropped, np.int64)
+    keep = np.ones(int(dropped.max()) // 8 * 8 + 8, bool)
+    keep[dropped] = False
     return zlib.compress(np.packbits(keep).tobytes(), 1)
 
 
-def kept_lines(text: bytes, packed: bytes) -> bytes:
-    """The text without the lines whose bit in the bitmap is 0."""
-    keep = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
-    return b"\n".join(line for line, k in zip(text.split(b"\n"), keep) if k)
+def dropped_lines(packed: bytes | None) -> np.ndarray:
+    """Positions whose bit in the bitmap is 0."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)) == 0) if packed else np.zeros(0, np.int64)
 
 
-def _bitmaps(batches):
-    for batch in batches:
-        texts = batch.column("text")
-        dropped = batch.column("dropped")
-        n, k, packed = [], [], []
-        for i in range(batch.num_rows):
-            text = texts[i].as_py() or b""
-            gone = dropped[i].values
-            gone = gone.to_numpy() if gone is not None else np.zeros(0, np.int64)
-            n.append(text.count(b"\n") + 1)
-            k.append(len(gone))
-            packed.append(bitmap(n[-1], gone) if len(gone) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "text", "n_lines", "n_dropped", "keep"])
-
-
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, text as binary, n_lines, n_dropped, keep) for every row of docs.
-
-    keep: bitmap of the lines that stay (see ``bitmap``), null where all stay.
-    Null and empty texts have one empty line.  Other columns of docs are not looked at.
-    """
-    gone = keep_bitmaps(docs, least_chars, least_docs)
-    joined = with_key(docs).join(gone, "row_key", "left").select("doc_id", "text", "dropped")
-    return joined.mapInArrow(tidied(_bitmaps), "doc_id long, text binary, n_lines long, n_dropped long, keep binary")
+def kept_lines(text: bytes, packed: bytes | None) -> tuple[bytes, int, int]:
+    """The text without the lines that its bitmap drops, the number of its lines and of those dropped."""
+    gone = dropped_lines(packed)
+    if not len(gone):
+        return text, text.count(b"\n") + 1, 0
+    lines = text.split(b"\n")
+    keep = np.ones(len(lines), bool)
+    keep[gone] = False
+    return b"\n".join([line for line, k in zip(lines, keep.tolist()) if k]), len(lines), len(gone)
+
+
+def with_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """Every row of docs (doc_id, row_key, ...) with the bitmap ``keep`` of its lines, null where all stay; docs need text, too."""
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), row_key().alias("__key")]
+    gone = keep_bitmaps(docs, least_chars, least_docs).select(F.col("doc").alias("__doc"), F.col("row_key").alias("__key"), F.col("keep").alias("__keep"))
+    return docs.select("*", *keys).join(gone, ["__doc", "__key"], "left").drop("__doc", "__key")
 
 
 def _digests(batches):
     for batch in batches:
-        out = []
-        for text, keep in zip(batch.column("text"), batch.column("keep")):
-            t, k = text.as_py() or b"", keep.as_py()
-            out.append(hashlib.sha256(t if k is None else kept_lines(t, k)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_lines"), batch.column("n_dropped"), pa.array(out, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        out, n, k = [], [], []
+        for text, keep in zip(batch.column("text"), batch.column("__keep")):
+            kept, lines, gone = kept_lines(text.as_py() or b"", keep.as_py())
+            out.append(hashlib.sha256(kept).hexdigest())
+            n.append(lines)
+            k.append(gone)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What query op9_lines returns."""
-    return dedup_lines(docs).mapInArrow(tidied(_digests), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    """What query op9_lines returns: a row for every row of docs.
+
+    Null and empty texts have one empty line, which stays; other columns are not
+    looked at; rows with one doc_id are one document, repeated rows repeat; an
+    empty table gives an empty one.
+    """
+    both = with_bitmaps(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "__keep")
+    return both.mapInArrow(tidied(_digests), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
     """docs, same columns, each text with only the lines that stay, null texts null; n_chars follows if there is one."""
-    gone = keep_bitmaps(docs)
     names = docs.columns
-    joined = docs.withColumn("__key", row_key()).join(gone.withColumnsRenamed({"row_key": "__key", "dropped": "__dropped"}), "__key", "left")
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for text, dropped in zip(batch.column("text"), batch.column("__dropped")):
-                t = text.as_py()
-                if t is not None and dropped.values is not None and len(dropped.values):
-                    b = t.encode()
-                    t = kept_lines(b, bitmap(b.count(b"\n") + 1, dropped.values.to_numpy())).decode()
-                out.append(t)
-            columns = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    new = joined.select(*names, "__dropped").mapInArrow(tidied(cut), docs.schema)
+            texts = batch.column("text")
+            out = [None if t is None else kept_lines(t.encode(), k)[0].decode() if k else t for t, k in zip(texts.to_pylist(), batch.column("__keep").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if n == "text" else batch.column(n) for n in names], names)
+
+    new = with_bitmaps(docs).mapInArrow(tidied(cut), docs.schema)
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else new

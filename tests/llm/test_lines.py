@@ -49,10 +49,19 @@ def test_empty_table(spark):
 
 
 def test_bitmaps_restore_the_text(spark):
-    df = spark.createDataFrame(rows([f"a\n{LONG}\nb"] * 3), SCHEMA)
-    kept = {r.doc_id: lines.kept_lines(bytes(r.text), r.keep) if r.keep else bytes(r.text) for r in lines.dedup_lines(df).collect()}
-    assert kept == {0: b"a\nb", 1: b"a\nb", 2: f"a\n{LONG}\nb".encode()}
+    df = spark.createDataFrame(rows([f"a\n{LONG}\nb"] * 3 + [None, ""]), SCHEMA)
+    packed = {r.doc: r.keep for r in lines.keep_bitmaps(df).collect()}
+    assert {d: lines.dropped_lines(k).tolist() for d, k in packed.items()} == {0: [1], 1: [1]}
+    kept = {r.doc_id: lines.kept_lines((r.text or "").encode(), r["__keep"]) for r in lines.with_bitmaps(df).collect()}
+    assert kept == {0: (b"a\nb", 3, 1), 1: (b"a\nb", 3, 1), 2: (f"a\n{LONG}\nb".encode(), 3, 0), 3: (b"", 1, 0), 4: (b"", 1, 0)}
     new = lines.rewritten(df)
     assert new.columns == df.columns
     assert new.where(F.col("n_chars") != F.length("text")).count() == 0
     assert new.where("doc_id < 2").select("text").distinct().first()[0] == "a\nb"
+    assert {r.text for r in new.where("doc_id > 2").collect()} == {None, ""}
+
+
+def test_bitmap_of_many_lines():
+    for gone in ([0], [7], [8], [3, 99_999]):
+        assert lines.dropped_lines(lines.bitmap(gone)).tolist() == gone
+    assert len(lines.bitmap([3, 99_999])) < 200
