@@ -332,7 +332,8 @@ class NgramJoin:
         frequent = self.spark.sparkContext.broadcast(tokens)
         index = self.texts.select("text").mapInArrow(tidied(_prefixes(frequent, self.w, self.percent)), "token long, cls long, n int, pos int")
         order = ["token", "n", "pos", "cls"]
-        shared = index.repartitionByRange(self.parts, *order).sortWithinPartitions("token", "cls").mapInArrow(tidied(shared_lists(["token", "cls", "n", "pos"])), "token long, cls long, n int, pos int")
+        # Written, as the cuts of the ranges take a pass over it of their own.
+        shared = written(index, "prefixes").repartitionByRange(self.parts, *order).sortWithinPartitions("token", "cls").mapInArrow(tidied(shared_lists(["token", "cls", "n", "pos"])), "token long, cls long, n int, pos int")
         shared = written(shared, "lists")
         roots = self._near().select(F.col("a").alias("cls"), F.col("b").alias("root"))
         lists = shared.join(roots, "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("grp"), "n", "pos", F.lit(0).alias("len"))
@@ -385,9 +386,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, w: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs, one document of each component: the one with the smallest doc_id; of its repeated rows one."""
+    """docs, one document of each component: the one with the smallest doc_id; of its repeated rows one.
+
+    Rows that agree in doc_id and text are repeats even where other columns
+    differ, and so are those without a word; any one of them stays.
+    """
     groups = NgramJoin(docs, w, percent).groups()
-    stay = groups.where("n = 0 or component is null or component = doc_id").select(F.col("row_key").alias("__key"))
-    # Repeats of a row share its key; one is enough, as they are copies.
-    kept = docs.withColumn("__key", row_key()).join(stay.distinct(), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    stay = groups.where("n = 0 or component is null or component = doc_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("row_key").alias("__key"))
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), row_key().alias("__key")]
+    kept = docs.select("*", *keys).join(stay.distinct(), ["__doc", "__key"], "left_semi")
+    return kept.dropDuplicates(["__doc", "__key"]).select(*docs.columns)

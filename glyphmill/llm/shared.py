@@ -13,22 +13,42 @@ BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is set and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df by way of a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int, last: int = 0) -> None:
+    """Delete the tables that `written` has made after the first `since`, but for the last ones; nothing may still be computed from them."""
+    end = len(_tables) - last
+    gone = _tables[since:end]
+    del _tables[since:end]
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, gone):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(text: str = "text"):
     """The same for rows that agree in doc_id and text, so for repeats only."""
     doc = F.col("doc_id").cast("long")
@@ -69,7 +89,7 @@ def texts_beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return numbered.join(left, "key_a").join(right, ["key_b", "copy"]).drop("key_a", "key_b", "copy")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): (node, component), the smallest node of each.
 
     Each round gives every node the smallest label next to it and then the label
@@ -80,7 +100,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component"))
     labels = written(labels, "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
         low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "low").alias("low"), F.col("component").alias("old"))
         # A node may have come under a label that has itself come under a lower one.
@@ -89,4 +109,3 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("component <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle within {rounds} rounds")
