@@ -197,8 +197,12 @@ def _searched(shared, w: int, only_hits: bool):
     return run
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null").distinct()
+
+
 def n_blocks(benchmark: DataFrame, most_bytes: int) -> int:
-    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")) * 13 + 64)).first()[0] or 0
+    total = _items(benchmark).agg(F.sum(F.octet_length("text") * 13 + 64)).first()[0] or 0
     return max(1, -(-total // most_bytes))
 
 
@@ -206,8 +210,10 @@ def blocks(benchmark: DataFrame, most_bytes: int):
     """The benchmark's items in blocks whose windows take at most about most_bytes; one block at a time in the driver.
 
     A window is some 13 times as long as the text it adds to, hence the factor.
+    Repeated rows count once.  An item is never cut, so one of more than that has
+    a block of its own size.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    items = _items(benchmark)
     n = n_blocks(benchmark, most_bytes)
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
@@ -235,9 +241,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, most_b
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    merged = hits.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    merged = hits.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
     every = keyed.mapInArrow(tidied(_searched(none, w, only_hits=False)), FOUND)
-    return every.join(merged, "row_key", "left").select("doc_id", "row_key", "n_words", F.coalesce("h", "hit").alias("hit"), F.coalesce("i", "items").alias("items"))
+    return every.join(merged, (F.col("row_key") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "row_key", "n_words", F.coalesce("h", "hit").alias("hit"), F.coalesce("i", "items").alias("items"))
 
 
 def is_contaminated(n_hit, n_words):
@@ -245,7 +251,7 @@ def is_contaminated(n_hit, n_words):
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """What query op8_decontam returns."""
+    """What query op8_decontam returns: a row for every row of docs; see ``contamination`` for nulls and repeats."""
     found = contamination(docs, benchmark)
     n_hit = F.size("hit").cast("long")
     return found.select(
@@ -255,10 +261,13 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the contaminated rows; a benchmark of one block needs no shuffle."""
+    """docs without the contaminated rows; a benchmark of one block needs no shuffle.
+
+    Rows without a word stay; repeated rows stay or go together.
+    """
     if n_blocks(benchmark, most_bytes) > 1:
-        bad = contamination(docs, benchmark, w, most_bytes).where(is_contaminated(F.size("hit").cast("long"), F.col("n_words"))).select(F.col("row_key").alias("__key")).distinct()
-        return docs.withColumn("__key", row_key()).join(bad, "__key", "left_anti").select(*docs.columns)
+        bad = contamination(docs, benchmark, w, most_bytes).where(is_contaminated(F.size("hit").cast("long"), F.col("n_words"))).select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).distinct()
+        return docs.join(bad, (row_key() == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__doc")), "left_anti")
     ((_, block),) = blocks(benchmark.where("item_id is not null"), most_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(block)
     cache: list[Matcher] = []
