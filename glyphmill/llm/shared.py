@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,13 +41,19 @@ def tables_made() -> int:
     return len(_tables)
 
 
-def release(spark: SparkSession, since: int, last: int = 0) -> None:
-    """Delete the tables that `written` has made after the first `since`, but for the last ones; nothing may still be computed from them."""
+def release(spark: SparkSession, since: int, last: int = 0, names: tuple[str, ...] = ()) -> None:
+    """Delete the tables that `written` has made after the first `since`, but for the last ones, all or those of these names.
+
+    Nothing may still be computed from them.  The collection lets the cleaner remove the shuffle files of finished steps, too.
+    """
     end = len(_tables) - last
-    gone = _tables[since:end]
-    del _tables[since:end]
-    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, gone):
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gone = [t for t in _tables[since:end] if not names or t.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+    _tables[since:end] = [t for t in _tables[since:end] if t not in gone]
+    context = spark.sparkContext
+    for path in map(context._jvm.org.apache.hadoop.fs.Path, gone):
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
 
 
 def row_key(text: str = "text"):
