@@ -3,14 +3,17 @@
 Equal vectors are one class with its smallest ids, so a vector that a third of
 all rows have is one entry.  Coarse centroids and codebooks are fitted on a
 bounded sample; every class is then put on its centroid's list, as one byte for
-each part of its residual.  A query looks at the lists of its nearest centroids:
-a table of its residual's distances to each code gives the distance to an entry
-by adding up table entries (asymmetric distances).  The nearest entries by that
-measure are ranked anew by the exact distance of the original vectors.
+each part of its residual.  A query looks at the lists of its nearest centroids.
+Its distance to an entry is asymmetric: the query's own vector against the entry's
+code.  It is added up from tables: the query's products with each code of each
+part, its distance to the list's centroid, and what is the entry's alone.  The
+nearest entries by that measure are ranked anew by the exact distance of the
+original vectors.
 
 Entries are dealt into bundles of bounded size, some short lists or a part of a
 long one, and a bundle's queries into chunks; each bundle and chunk is one group,
 so no list has to fit in a task.  A group returns of each query only the nearest.
+How entries are dealt changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -30,16 +33,17 @@ NEAREST = 10
 SAMPLE = 20_000
 MOST_LISTS = 1024
 PARTS, CODES = 16, 256
+#: Lists for each root of the number of classes, up to MOST_LISTS: short lists follow what structure there is more closely.
+LISTS_A_ROOT = 4
 #: Share of the lists that a query looks at, and the fewest.
-PROBE_SHARE, LEAST_PROBES = 0.6, 8
-#: Entries on the lists that a query looks at, at least: small tables are searched almost whole.
-LEAST_ENTRIES = 4000
+PROBE_SHARE, LEAST_PROBES = 0.4, 8
 #: Entries ranked anew for each query, as a multiple of the neighbours asked for.
 RERANK = 20
-CHUNK, QUERY_CHUNK = 20_000, 2_000
+#: Entries of a bundle, so that there are some bundles a core, and queries of a chunk.
+LEAST_CHUNK, MOST_CHUNK, QUERY_CHUNK = 1_000, 20_000, 500
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1) -> np.ndarray:
     r = np.random.default_rng(seed)
     c = x[r.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -75,19 +79,25 @@ class Model:
         codes = [nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
         return lists, np.stack(codes, 1).astype(np.uint8)
 
-    def table(self, q: np.ndarray, number: int) -> np.ndarray:
-        """Squared distances of each part of a query's residual to each code."""
-        rest = q - self.centroids[number]
-        out = np.full((len(self.books), CODES), np.inf, np.float32)
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1) if len(codes) else np.zeros((0, self.cuts[-1]))
+
+    def distances(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared distances of each query to each entry, given by list and code: |q - c|^2 + |r|^2 + 2 c r - 2 q r."""
+        numbers, at = np.unique(lists, return_inverse=True)
+        rest, centres = self.decoded(codes), self.centroids[lists]
+        out = squared(q, self.centroids[numbers]).astype(np.float32)[:, at]
+        out += ((rest * rest).sum(1) + 2 * (centres * rest).sum(1)).astype(np.float32)
         for k, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out[k, : len(book)] = ((book - rest[a:b]) ** 2).sum(1)
+            table = (2 * (q[:, a:b] @ book.T)).astype(np.float32)
+            out -= table[:, codes[:, k]]
         return out
 
 
 def fit(sample: np.ndarray, n: int, seed: int = 1) -> Model:
     """From a sample of n classes in all."""
     dim = sample.shape[1]
-    k = int(min(MOST_LISTS, max(1, round(n**0.5)), len(sample)))
+    k = int(min(MOST_LISTS, max(1, round(LISTS_A_ROOT * n**0.5)), max(1, len(sample) // 4)))
     centroids = kmeans(sample, k, seed=seed)
     rest = sample - centroids[nearest(sample, centroids)]
     cuts = np.linspace(0, dim, min(PARTS, dim) + 1).astype(int).tolist()
@@ -130,25 +140,25 @@ def _encoded(shared):
     return run
 
 
-def bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def bundles(sizes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray, int]:
     """For each list its first bundle and the number of bundles it is dealt out over, and the number of all.
 
-    A bundle is some short lists, or a part of a long one, about CHUNK entries.
+    A bundle is some short lists, or a part of a long one, about `chunk` entries.
     """
     first, parts, number, fill = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
     for k, n in enumerate(sizes.tolist()):
-        if fill and fill + n > CHUNK:
+        if fill and fill + n > chunk:
             number, fill = number + 1, 0
-        first[k], parts[k] = number, max(1, -(-n // CHUNK))
+        first[k], parts[k] = number, max(1, -(-n // chunk))
         fill += n
         if parts[k] > 1:
             number, fill = number + int(parts[k]), 0
     return first, parts, number + 1
 
 
-def _probing(shared, sizes: np.ndarray, share: float, enough: int):
+def _probing(shared, sizes: np.ndarray, chunk: int, share: float, enough: int):
     """Of each query the lists that it looks at, a row for each bundle of them."""
-    first, parts, _ = bundles(sizes)
+    first, parts, _ = bundles(sizes, chunk)
 
     def run(batches):
         model = shared.value
@@ -177,29 +187,23 @@ def _probing(shared, sizes: np.ndarray, share: float, enough: int):
 
 def _searched(shared, keep: int):
     def run(key, entries, queries):
-        model = shared.value
-        out_q, out_c, out_d = [], [], []
+        out = []
         if entries.num_rows and queries.num_rows:
-            entries = entries.sort_by("list")
             cls, lists = entries["cls"].to_numpy(), entries["list"].to_numpy()
             codes = np.frombuffer(b"".join(entries["code"].to_pylist()), np.uint8).reshape(len(cls), -1)
-            numbers, begin = np.unique(lists, return_index=True)
-            where = {int(k): (int(s), int(e)) for k, s, e in zip(numbers, begin, np.append(begin[1:], len(lists)))}
-            for q, v, wanted in zip(queries["query_id"].to_pylist(), _matrix(queries["v"]), queries["lists"].to_pylist()):
-                spans = [(k, *where[k]) for k in wanted if k in where]
-                if not spans:
-                    continue
-                about = []
-                for number, s, e in spans:
-                    table = model.table(v, number)
-                    about.append(table[np.arange(codes.shape[1]), codes[s:e]].sum(1))
-                d, c = np.concatenate(about), np.concatenate([cls[s:e] for _, s, e in spans])
-                best = np.argpartition(d, keep - 1)[:keep] if len(d) > keep else np.arange(len(d))
-                out_q.append(np.full(len(best), q))
-                out_c.append(c[best])
-                out_d.append(d[best])
-        c = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table({"query_id": c(out_q, pa.int64()), "cls": c(out_c, pa.int64()), "about": c(out_d, pa.float32())})
+            wanted = queries["lists"].combine_chunks()
+            looks = np.zeros((queries.num_rows, len(shared.value.centroids)), bool)
+            looks[np.repeat(np.arange(queries.num_rows), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()] = True
+            about = shared.value.distances(_matrix(queries["v"]), lists, codes)
+            about[~looks[:, lists]] = np.inf
+            if len(cls) > keep:
+                best = np.argpartition(about, keep - 1, 1)[:, :keep]
+            else:
+                best = np.tile(np.arange(len(cls)), (len(about), 1))
+            near = np.take_along_axis(about, best, 1)
+            row, column = np.nonzero(np.isfinite(near))
+            out = [queries["query_id"].to_numpy()[row], cls[best[row, column]], near[row, column]]
+        return pa.table({name: pa.array(out[i] if out else [], kind) for i, (name, kind) in enumerate((("query_id", pa.int64()), ("cls", pa.int64()), ("about", pa.float32())))})
 
     return run
 
@@ -228,8 +232,10 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_k: int = NEAREST, sha
     for r in entries.groupBy("list").count().collect():  # as many rows as there are lists, MOST_LISTS at most
         sizes[r["list"]] = r["count"]
     keep = RERANK * nearest_k
-    first, parts, _ = bundles(sizes)
-    probes = written(queries.select("query_id", "v").mapInArrow(tidied(_probing(shared, sizes, share, max(2 * keep, LEAST_ENTRIES))), "query_id long, bundle int, lists array<int>, v array<double>"), "probes")
+    cores = spark.sparkContext.defaultParallelism
+    chunk = int(min(MOST_CHUNK, max(LEAST_CHUNK, n // (4 * cores))))
+    first, parts, number = bundles(sizes, chunk)
+    probes = written(queries.select("query_id", "v").mapInArrow(tidied(_probing(shared, sizes, chunk, share, 2 * keep)), "query_id long, bundle int, lists array<int>, v array<double>"), "probes")
     # A row a list, MOST_LISTS at most.
     plan = F.broadcast(spark.createDataFrame([(k, int(b), int(n)) for k, (b, n) in enumerate(zip(first, parts))], "list int, first int, parts int"))
     dealt = entries.join(plan, "list").withColumn("bundle", (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))).cast("int"))
@@ -237,7 +243,10 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_k: int = NEAREST, sha
     left = dealt.join(asked, "bundle").withColumn("query_chunk", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
     right = probes.join(asked, "bundle").withColumn("query_chunk", F.pmod(F.xxhash64("query_id"), F.col("query_chunks")).cast("int"))
     keys = ["bundle", "query_chunk"]
-    found = left.select(*keys, "cls", "list", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "lists", "v").groupBy(*keys)).applyInArrow(_searched(shared, keep), "query_id long, cls long, about float")
+    # Dealt by number, so that groups which are small to read and long to search are not put together.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(number, 4 * cores))
+    left, right = (df.select(*keys, *columns).repartition(parts, *keys).groupBy(*keys) for df, columns in ((left, ("cls", "list", "code")), (right, ("query_id", "lists", "v"))))
+    found = left.cogroup(right).applyInArrow(_searched(shared, keep), "query_id long, cls long, about float")
     best = Window.partitionBy("query_id").orderBy("about", "cls")
     short = found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= keep).select("query_id", "cls")
     exact = short.join(queries.withColumnRenamed("v", "q"), "query_id").join(whole, "cls").withColumn("score", distance("q", "v")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
