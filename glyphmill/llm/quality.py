@@ -97,25 +97,13 @@ class Scorer:
             return np.full(len(x), 0.5)
         return 1 / (1 + np.exp(-np.clip(self._forward(self._standard(x))[1], -30, 30)))
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.01, decay: float = 1e-3) -> None:
-        """Non-negative risk, with the smooth loss l(f) = 1 / (1 + exp(f)), which does not grow with a score."""
-        x = np.concatenate([positive, unlabelled])
-        self.mean, self.sd = x.mean(0), x.std(0) + 1e-6
-        x, n = self._standard(x), len(positive)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+    def _descend(self, x: np.ndarray, slope, steps: int, rate: float, decay: float) -> None:
+        """Adam steps; slope(f): derivative of the risk by each row's f."""
+        m = {k: np.zeros_like(y) for k, y in self.p.items()}
         v = {k: np.zeros_like(y) for k, y in self.p.items()}
         for step in range(1, steps + 1):
             h, f = self._forward(x)
-            s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            ds = s * (1 - s)
-            negative = s[n:].mean() - prior * s[:n].mean()
-            g = np.zeros(len(x))
-            if negative >= 0:
-                g[:n] = -prior * ds[:n] / n - prior * ds[:n] / n
-                g[n:] = ds[n:] / (len(x) - n)
-            else:
-                g[:n] = prior * ds[:n] / n
-                g[n:] = -ds[n:] / (len(x) - n)
+            g = slope(1 / (1 + np.exp(-np.clip(f, -30, 30))))
             dh = np.outer(g, self.p["c"]) * (1 - h * h)
             grad = {"a": x.T @ dh + decay * self.p["a"] / 10, "b": dh.sum(0), "c": h.T @ g + decay * self.p["c"] / 10, "d": np.array([g.sum()])}
             for k, y in grad.items():
@@ -124,6 +112,57 @@ class Scorer:
                 self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         self.trained = True
 
+    def _joined(self, positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+        x = np.concatenate([positive, unlabelled])
+        self.mean, self.sd = x.mean(0), x.std(0) + 1e-6
+        return self._standard(x)
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.01, decay: float = 1e-3) -> None:
+        """Non-negative risk, with the smooth loss l(f) = 1 / (1 + exp(f)), which does not grow with a score."""
+        n, k = len(positive), len(unlabelled)
+
+        def slope(s):
+            ds = s * (1 - s)
+            if s[n:].mean() - prior * s[:n].mean() >= 0:
+                return np.concatenate([-2 * prior * ds[:n] / n, ds[n:] / k])
+            return np.concatenate([prior * ds[:n] / n, -ds[n:] / k])
+
+        self._descend(self._joined(positive, unlabelled), slope, steps, rate, decay)
+
+    def tell_apart(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300) -> None:
+        """Positives from unlabelled text, with the logistic loss."""
+        n, k = len(positive), len(unlabelled)
+        self._descend(self._joined(positive, unlabelled), lambda s: np.concatenate([(s[:n] - 1) / n, s[n:] / k]), steps, 0.01, 1e-3)
+
+
+def tail_ratio(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.1) -> float:
+    """Least ratio of the shares of unlabelled and of positive scores above a threshold.
+
+    Above one that only positives pass, it is the share of positives in the
+    unlabelled; thresholds that few pass are held back by the bound on the shares'
+    errors, which holds with probability 1 - sure.
+    """
+    cuts = np.unique(positive)
+    p, u = (1 - np.searchsorted(np.sort(s), cuts) / len(s) for s in (positive, unlabelled))
+    error = sum(np.sqrt(np.log(4 / sure) / 2 / len(s)) for s in (positive, unlabelled))
+    best = np.argmin((u + error) / p)
+    return float(u[best] / p[best])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in unlabelled text, from these two only: a network tells one half of both apart, the other half's scores are compared.
+
+    Both halves take either part; the mean counts, kept away from 0 and 1.
+    """
+    found = []
+    for k in (0, 1):
+        if not min(len(positive[k::2]), len(positive[1 - k :: 2]), len(unlabelled[k::2]), len(unlabelled[1 - k :: 2])):
+            continue
+        judge = Scorer(seed=11 + k)
+        judge.tell_apart(positive[k::2], unlabelled[k::2])
+        found.append(tail_ratio(judge.score(positive[1 - k :: 2]), judge.score(unlabelled[1 - k :: 2])))
+    return min(max(float(np.mean(found)) if found else 0.5, 0.05), 0.95)
+
 
 def held_out(doc_id="doc_id"):
     """Rows that are not trained on: crc32 of the id as text leaves 1 when divided by 3; a null id is not held out."""
@@ -145,7 +184,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Trained on bounded samples of the training folds; untrained if they hold no positive or no text."""
     mine = labels.select("doc_id", "quality").where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
-    share = mine.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     positive = mine.where("quality = 1").select("doc_id").distinct().orderBy(*by_hash).limit(POSITIVES).withColumn("positive", F.lit(1))
     other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out() & F.col("doc_id").isNotNull()).orderBy(*by_hash).limit(UNLABELLED).withColumn("positive", F.lit(0))
     sample = F.broadcast(positive.unionByName(other.distinct()))
@@ -157,7 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     x = np.array(rows["x"].combine_chunks().flatten(), float).reshape(-1, len(FEATURES)) if len(flag) else np.zeros((0, len(FEATURES)))
     scorer = Scorer()
     if (flag == 1).any() and (flag == 0).any():
-        scorer.fit(x[flag == 1], x[flag == 0], min(max(share, 0.05), 0.95))
+        # In no order that the distribution over tasks decides.
+        parts = [x[flag == k] for k in (1, 0)]
+        parts = [p[np.lexsort(p.T)] for p in parts]
+        scorer.fit(*parts, estimated_prior(*parts))
     return scorer
 
 
@@ -175,12 +216,16 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """What query op3_quality returns."""
+    """What query op3_quality returns: a row for every row of docs; repeated rows repeat with one score.
+
+    Null and empty texts have features of 0 and a score like any other; without
+    labels, or text, of the training folds every score is 0.5.
+    """
     return scored(docs, labels).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
+    """docs without the rows that the classifier rejects; see ``digest``."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):

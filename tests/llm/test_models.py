@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import EMPTY, SCHEMA, components, contamination, line_dedup, rows, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glyphmill.llm import ann, packing, passages, quality, shared
@@ -138,9 +139,29 @@ def test_ann_one_vector_of_a_third_of_all_rows(spark):
         assert [v for _, v in sorted(got[q])] == [v for v, _ in brute(ids, x.astype(float), q)]
 
 
-def test_bundles_hold_what_they_should(monkeypatch):
-    monkeypatch.setattr(ann, "CHUNK", 10)
-    first, parts, n = ann.bundles(np.array([3, 3, 3, 3, 25, 1, 0, 10]))
+def test_ann_recall_on_a_whole_table_with_most_lists_left_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    p = df.toPandas()
+    ids, x = p.vec_id.to_numpy(), np.array(p.embedding.tolist(), float)
+    got = defaultdict(set)
+    for row in ann.search(df, ann.usable(df).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")).collect():
+        got[row.query_id].add(row.vec_id)
+    recall = np.mean([len(got[ids[q]] & {v for v, _ in brute(ids, x, q)}) / 10 for q in np.flatnonzero(ids % 20 == 0)])
+    print("recall:", recall)
+    assert len(got) == (ids % 20 == 0).sum() and recall >= 0.9
+
+
+def test_ann_distances_from_tables():
+    r = np.random.default_rng(3)
+    model = ann.fit(r.standard_normal((600, 24)), 600)
+    x, q = r.standard_normal((50, 24)), r.standard_normal((7, 24))
+    lists, codes = model.encode(x)
+    near = model.centroids[lists] + model.decoded(codes)
+    assert np.allclose(model.distances(q, lists, codes), ((q[:, None] - near[None]) ** 2).sum(2), atol=1e-3)
+
+
+def test_bundles_hold_what_they_should():
+    first, parts, n = ann.bundles(np.array([3, 3, 3, 3, 25, 1, 0, 10]), 10)
     assert first.tolist() == [0, 0, 0, 1, 2, 5, 5, 6] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1, 1] and n == 7
 
 
@@ -158,6 +179,29 @@ def test_quality_held_out_accuracy(spark):
     assert docs.count() == scored.count()
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled_rows_alone():
+    r = np.random.default_rng(4)
+    d = len(quality.FEATURES)
+    shift = np.append(np.full(3, 2.5), np.zeros(d - 3))
+    for share in (0.2, 0.5, 0.8):
+        positive = r.standard_normal((1500, d)) + shift
+        hidden = r.random(3000) < share
+        unlabelled = r.standard_normal((3000, d)) + hidden[:, None] * shift
+        assert abs(quality.estimated_prior(positive, unlabelled) - share) < 0.07
+
+
+def test_prior_of_documents_is_near_the_labels_share():
+    import pandas as pd
+
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.merge(labels, on="doc_id")
+    texts = [t.encode() for t in both.text.fillna("")]
+    x = quality.features(b"".join(texts), np.cumsum([0, *map(len, texts)]))
+    good = (both.quality == 1).to_numpy()
+    first = np.arange(len(x)) % 2 == 0
+    assert abs(quality.estimated_prior(x[good & first], x[~first]) - good.mean()) < 0.1
+
+
 def test_quality_does_not_look_at_held_out_labels(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     other = labels.selectExpr("doc_id", "if(crc32(string(doc_id)) % 3 = 1, 1 - quality, quality) as quality", "toxic")
@@ -173,6 +217,12 @@ def test_quality_awkward_texts(spark, data):
     assert {r.score for r in quality.digest(docs, none).collect()} == {0.5}
     assert quality.digest(docs.limit(0), labels).count() == 0
     assert quality.good(docs, labels).columns == docs.columns
+    # Repeated rows and ties: a row for each, one score.
+    twice = spark.createDataFrame(rows(["A tie.", "A tie."], first=2 * 10**6) * 2, SCHEMA)
+    scores = [r.score for r in quality.digest(twice, labels).collect()]
+    assert len(scores) == 4 and len(set(scores)) == 1
+    assert quality.good(twice, labels).count() in (0, 4)
+    assert quality.good(docs.limit(0), labels).count() == 0
 
 
 # --- passages ----------------------------------------------------------------
