@@ -11,12 +11,14 @@ around such characters are decoded and no others.  Windows overlap by half.  A
 stretch's windows are reconciled globally: each character's tag scores are the
 windows' scores, weighted by how far inside the window it lies, and one Viterbi
 path runs over the whole stretch.  A span of the network is added if it
-touches no base span and holds what its kind needs (digits, parts, checksum).
+touches no base span and has what its kind cannot do without (signs, numbers, a
+checksum).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +39,12 @@ CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+#: What every taught form has.
+_SIGN = re.compile(r"[0-9@]|[\[(](?=[a-z.])")
+_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
+_AT = re.compile(r"@|\bat\b", re.I | re.A)
+_DOT = re.compile(r"\.|\bdot\b", re.I | re.A)
+
 WINDOW = 64
 #: Code points around a sign that are decoded with it.
 AROUND = 32
@@ -109,16 +117,26 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, str, int]]]]:
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é ä ö ü ñ ción que eau sch ung".split()
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     num = lambda k: "".join(str(int(x)) for x in r.integers(0, 10, k))
-    word = lambda: "".join(pick(syllables) for _ in range(int(r.integers(1, 5))))
+
+    def word(plain: bool = False) -> str:
+        if r.random() < 0.4:
+            w = "".join(pick("aabcdeeefghiijklmnoopqrsttuuvwxyz" if plain or r.random() < 0.7 else "aäbcdeéfghiíjklmnñoöpqrsßtuüvwxyz") for _ in range(int(r.integers(2, 11))))
+        else:
+            w = "".join(pick(syllables) for _ in range(int(r.integers(1, 5))))
+        if plain:
+            w = w.encode("ascii", "ignore").decode() or "x"
+        return w.capitalize() if r.random() < 0.15 else w
 
     def card() -> str:
         d = pick("3456") + num(14)
         return next(d + c for c in "0123456789" if luhn(d + c))
 
     def email() -> str:
-        at, dot = pick([("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "."), (" @ ", "."), (" (at) ", ".")])
-        host = pick(["mail", "web", "host", "post"]) + pick(["", num(1)]) + pick(["", dot + "example", dot + word().encode("ascii", "ignore").decode() + "x"])
-        return pick(["", pick("abcdef") + "."]) + word().encode("ascii", "ignore").decode() + "x" + pick(["", "." + num(2), "_" + num(1)]) + at + host + dot + pick(["com", "org", "net", "de", "fr"])
+        at = pick(["@", "@", "@", " [at] ", " (at) ", "(at)", "[at]", " @ "])
+        dot = "." if at == "@" else pick([".", ".", " [dot] ", " (dot) ", "(dot)", "[dot]"])
+        local = pick(["", "", pick("abcdefghijklmnoprstw") + pick([".", "_", ""]), word(True) + pick([".", "_", "-"])]) + "".join(word(True) for _ in range(pick([1] * 9 + [6]))) + pick(["", "", "", num(2), "." + num(2), "_" + num(1)])
+        host = pick(["mail", "web", "host", "post", word(True), word(True)]) + pick(["", "", num(1), "-" + word(True)]) + pick(["", "", dot + "example", dot + word(True)])
+        return (local + at + host + dot + pick(["com", "org", "net", "de", "fr", "es", "edu", "info", "io"])).lower()
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
@@ -130,7 +148,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, str, int]]]]:
 
     def cards() -> str:
         c = card()
-        return pick([c, c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), "-".join(c[i : i + 4] for i in range(0, 16, 4)), ".".join(c[i : i + 4] for i in range(0, 16, 4)), "/".join(c[i : i + 4] for i in range(0, 16, 4))])
+        return pick([c, *(sign.join(c[i : i + 4] for i in range(0, 16, 4)) for sign in " -./")])
 
     def plain() -> str:
         hexes = "".join(pick("0123456789abcdef") for _ in range(int(r.integers(8, 40))))
@@ -168,7 +186,7 @@ def tags_of(spans: list[tuple[int, str, int]]) -> np.ndarray:
 
 
 @lru_cache(1)
-def trained(n: int = 3000, epochs: int = 16) -> BiLstmCrf:
+def trained(n: int = 6000, epochs: int = 12) -> BiLstmCrf:
     """The network, from n examples; the same at every call."""
     made = examples(n, 3)
     model = BiLstmCrf(55 + len(SIGNS), 1 + 2 * len(KINDS))
@@ -177,14 +195,22 @@ def trained(n: int = 3000, epochs: int = 16) -> BiLstmCrf:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where texts have a digit, an at sign or an opening bracket before a letter, with AROUND code points on both sides."""
+    """Where texts have a digit, an at sign or an opening bracket before a small letter or full stop, with AROUND code points on both sides and what is left of the words there.
+
+    Every taught form has one of these, and what of it lies further away is one word with what lies near.
+    """
     out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]|[\[(](?=[a-z.])", text):
+    for m in _SIGN.finditer(text):
+        if out and m.end() + AROUND <= out[-1][1]:
+            continue
         s, e = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if out and s <= out[-1][1]:
-            out[-1][1] = e
-        else:
-            out.append([s, e])
+            s = out.pop()[0]
+        elif s and not text[s].isspace():
+            # Words end at ASCII white space; what the last stretch has need not be looked at again.
+            s = max((text.rfind(c, out[-1][1] if out else 0, s) for c in " \t\n\r\x0b\x0c"), default=-1) + 1 or (out.pop()[0] if out else 0)
+        found = _SPACE.search(text, e)
+        out.append([s, found.start() if found else len(text)])
     return [(s, e) for s, e in out]
 
 
@@ -221,18 +247,36 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, str, int]]:
 
 
 def plausible(kind: str, s: str) -> bool:
-    """Whether a span of the network holds what its kind needs."""
-    digits = re.sub("[^0-9]", "", s)
+    """Whether a span of the network has what its kind cannot do without: signs, numbers, a checksum. Its form is the network's matter."""
     if s != s.strip() or "\n" in s:
         return False
+    numbers = re.findall("[0-9]+", s)
+    digits = sum(map(len, numbers))
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|[\[(]at[\])]) ?[A-Za-z0-9-]+( ?(\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+", s))
+        at = _AT.search(s, 1)
+        return bool(at and _DOT.search(s, at.end()))
     if kind == "ip":
-        parts = re.fullmatch(r"([0-9]+)(?:\[\.\]|\(\.\)| \. )([0-9]+)(?:\[\.\]|\(\.\)| \. )([0-9]+)(?:\[\.\]|\(\.\)| \. )([0-9]+)", s)
-        return bool(parts) and all(len(x) <= 3 and int(x) <= 255 for x in parts.groups())
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch("[0-9]([ ./-]?[0-9])+", s))
-    return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"\(?[0-9]+\)?([ -]\(?[0-9]+\)?){2,4}", s))
+        return 13 <= digits <= 19 and luhn("".join(numbers))
+    return 10 <= digits <= 15
+
+
+def free_of(spans: list[tuple[int, str, int]]):
+    """Whether a stretch touches none of the spans."""
+    whole: list[list[int]] = []
+    for s, _, e in sorted(spans):
+        if whole and s <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], e)
+        else:
+            whole.append([s, e])
+    begins = [s for s, _ in whole]
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(begins, e)
+        return not k or whole[k - 1][1] <= s
+
+    return free
 
 
 def model_spans(model: BiLstmCrf, texts: list[str], base: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
@@ -243,10 +287,11 @@ def model_spans(model: BiLstmCrf, texts: list[str], base: list[list[tuple[int, s
             pieces.append(encode(text[s:e]))
             where.append((k, s))
     out: list[list[tuple[int, str, int]]] = [[] for _ in texts]
+    free = list(map(free_of, base))
     for (k, at), e in zip(where, emissions(model, pieces)):
         for s, kind, end in spans_of(model.viterbi(e)):
             s, end = s + at, end + at
-            if plausible(kind, texts[k][s:end]) and all(end <= x or s >= y for x, _, y in base[k]):
+            if plausible(kind, texts[k][s:end]) and free[k](s, end):
                 out[k].append((s, kind, end))
     return out
 
@@ -284,5 +329,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What query op1_pii returns."""
+    """What query op1_pii returns: a row for every row of docs.
+
+    Null and empty texts have no spans; texts of any length are searched whole;
+    repeated rows repeat, an empty table gives an empty one.
+    """
     return counted(scan(docs), KINDS, by_start=False)
