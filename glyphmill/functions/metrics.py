@@ -41,7 +41,7 @@ def frequency(xs: Column) -> Column:
         sizes = let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n)), lambda a, b: (b - a).cast("long")))
         return F.when(n > 0, sizes).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.array_sort(xs), runs)
+    return let(F.sort_array(xs), runs)
 
 
 def entropy(counts: Column) -> Column:
@@ -59,17 +59,15 @@ def distinct_ratio(xs: Column) -> Column:
     return F.when(n > 0, F.size(F.array_distinct(xs)) / n).otherwise(0.0)
 
 
-def ngrams(xs: Column, n: int) -> Column:
-    def grams(a: Column) -> Column:
-        return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-    return let(xs, grams)
+def ngram_hashes(xs: Column, n: int) -> Column:
+    """64 bits for each n successive values: what only has to be compared is compared as numbers."""
+    return let(xs, lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(a, i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>")))
 
 
 def repeat_ratio(xs: Column, n: int) -> Column:
     """Share of n-grams that repeat an earlier one; 0 for fewer than 2 n tokens."""
     count = F.size(xs) - n + 1
-    return F.when(F.size(xs) >= 2 * n, (count - F.size(F.array_distinct(ngrams(xs, n)))) / count).otherwise(0.0)
+    return F.when(F.size(xs) >= 2 * n, (count - F.size(F.array_distinct(ngram_hashes(xs, n)))) / count).otherwise(0.0)
 
 
 def repeated_starts(tokens: Column) -> Column:
@@ -121,7 +119,7 @@ def measured(docs: DataFrame, text: str = "text", compression: bool = True) -> D
     """docs with the metrics that panels are made of, each computed once a row."""
     t = F.col("__t")
     out = docs.withColumn("__t", T.trimmed(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumns({"__tokens": F.transform(T.tokens(t), F.lower), "__sentences": F.transform(T.sentences(t), T.tokens), "__paragraphs": T.paragraphs(t)})
+    out = out.withColumns({"__tokens": F.transform(T.tokens(t), lambda x: F.xxhash64(F.lower(x))), "__sentences": F.transform(T.sentences(t), T.tokens), "__paragraphs": T.paragraphs(t)})
     lens = F.filter(F.transform("__sentences", lambda s: F.size(s).cast("long")), lambda n: n > 0)
     out = out.withColumns({"__lens": lens, "__plens": F.transform("__paragraphs", lambda p: T.occurrences(p, T.TOKEN)), "language": T.panel_language(t)})
     return out.withColumns(

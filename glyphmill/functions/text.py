@@ -106,25 +106,6 @@ def paragraphs(text: Column) -> Column:
     return _pieces(F.split(text, r"\n\s*\n"))
 
 
-def lines(text: Column) -> Column:
-    """Runs without a line break, with the places where they begin and end in UTF-16 units and code points."""
-    parts = F.split(text, r"(?<=[\r\n])(?=[^\r\n])|(?<=[^\r\n])(?=[\r\n])")
-    start = F.struct(F.lit(0).cast("long").alias("cp"), F.lit(0).cast("long").alias("u16"), F.array().cast("array<struct<index:int,text:string,start_cp:bigint,end_cp:bigint,start_utf16:bigint,end_utf16:bigint>>").alias("out"))
-
-    def step(s, x):
-        end_cp, end_u16 = s["cp"] + F.length(x), s["u16"] + utf16_length(x)
-        row = F.struct(F.size(s["out"]).alias("index"), x.alias("text"), s["cp"].alias("start_cp"), end_cp.alias("end_cp"), s["u16"].alias("start_utf16"), end_u16.alias("end_utf16"))
-        keep = (x != "") & ~x.rlike(r"^[\r\n]")
-        return F.struct(end_cp.alias("cp"), end_u16.alias("u16"), F.when(keep, F.array_append(s["out"], row)).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda s: s["out"])
-
-
-def utf16_length(text: Column) -> Column:
-    """Code points above U+FFFF count twice."""
-    return (F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long")
-
-
 def script_counts(text: Column) -> Column:
     return F.struct(*(occurrences(text, p).alias(k) for k, p in SCRIPTS))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.functions.display import surroundings
 
 # Patterns of statements.
 DISCLOSURES = (
@@ -21,13 +26,45 @@ DISCUSSION = r"(?i)מחקר|למשל|לדוגמ[הא]|ציטוט|כדוגמה|א
 SECTION = "הצהרה על שימוש בכלי בינה מלאכותית"
 SECTION_YES, SECTION_NO = "השימוש נעשה|השתמשתי|נעזרתי", "לא נעשה|ללא שימוש"
 
-#: A text beyond this is not inspected.
-MOST_CHARS = 1_000_000
+#: What any finding's text has; a cheap filter before texts are cut into lines.
+ANY = f"{ASSISTANT}|{'|'.join(DISCLOSURES)}|{SECTION}"
+
+LINE = "index int, text string, start_cp bigint, end_cp bigint, start_utf16 bigint, end_utf16 bigint"
+#: Texts whose lines are returned at a time, but for the last about so many lines.
+LINES_AT_ONCE = 20_000
 
 
 def paragraph_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a line: key, index, text, start and end in code points and UTF-16 units."""
-    return docs.where(F.length(text) <= MOST_CHARS).select(key, F.inline(T.lines(F.col(text))))
+    """A row a line: key, index, text, start and end in code points and UTF-16 units.
+
+    Lines are runs without a line break.  One pass over each text, whatever the
+    number of its lines; null and empty texts have none.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, columns = [], [[] for _ in range(6)]
+
+            def out():
+                types = (pa.int32(), pa.string(), *[pa.int64()] * 4)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], [key, "index", "text", "start_cp", "end_cp", "start_utf16", "end_utf16"])
+
+            for k, t in enumerate(batch.column(1)):
+                t = t.as_py() or ""
+                wide = [] if t.isascii() else [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", t)]
+                for n, m in enumerate(re.finditer(r"[^\r\n]+", t)):
+                    s, e = m.span()
+                    rows.append(k)
+                    for c, v in zip(columns, (n, m[0], s, e, s + bisect_left(wide, s), e + bisect_left(wide, e))):
+                        c.append(v)
+                if len(rows) >= LINES_AT_ONCE:
+                    yield out()
+                    rows, columns = [], [[] for _ in range(6)]
+            if rows:
+                yield out()
+
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, {LINE}")
 
 
 def _matches(p: Column, patterns: tuple[str, ...]) -> Column:
@@ -47,25 +84,25 @@ def _matches(p: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a finding: key, paragraph, type, quote, start and end in code points.
+    """A row a finding: key, paragraph, type, quote, start and end in code points, context.
 
     Disclosures in quotation, denial or discussion are none.  A paragraph after a
     disclosure section's title (up to three) that says so is one as well, unless it
     already has one.
     """
-    rows = paragraph_rows(docs, key, text)
+    rows = paragraph_rows(docs.where(F.col(text).rlike(ANY)), key, text)
     p = F.col("text")
     guarded = p.rlike(QUOTED) | p.rlike(DENIAL) | p.rlike(DISCUSSION)
     kinds = rows.select("*", F.explode(F.array(
         F.struct(F.lit("ai_use_disclosure").alias("type"), F.when(~guarded, _matches(p, DISCLOSURES)).otherwise(F.array().cast("array<struct<quote:string,at:int>>")).alias("hits")),
         F.struct(F.lit("assistant_phrase").alias("type"), _matches(p, (ASSISTANT,)).alias("hits")),
     )).alias("k"))
-    hits = kinds.select(key, F.col("index").alias("paragraph"), F.col("k.type").alias("type"), "start_cp", F.explode("k.hits").alias("h"))
-    direct = hits.select(key, "paragraph", "type", F.col("h.quote").alias("quote"), (F.col("start_cp") + F.col("h.at")).alias("start"), (F.col("start_cp") + F.col("h.at") + F.length("h.quote")).alias("end"))
+    hits = kinds.select(key, F.col("index").alias("paragraph"), F.col("k.type").alias("type"), "start_cp", "text", F.explode("k.hits").alias("h"))
+    direct = hits.select(key, "paragraph", "type", F.col("h.quote").alias("quote"), (F.col("start_cp") + F.col("h.at")).alias("start"), (F.col("start_cp") + F.col("h.at") + F.length("h.quote")).alias("end"), surroundings(p, F.col("h.at"), F.length("h.quote")).alias("context"))
     order = Window.partitionBy(key).orderBy("index")
     title = F.max(p.rlike(SECTION)).over(order.rowsBetween(-3, -1))
     section = rows.withColumn("below", F.coalesce(title, F.lit(False))).where("below").where(p.rlike(SECTION_YES) & ~p.rlike(SECTION_NO))
-    section = section.select(key, F.col("index").alias("paragraph"), F.lit("ai_use_disclosure").alias("type"), F.col("text").alias("quote"), F.col("start_cp").alias("start"), F.col("end_cp").alias("end"))
+    section = section.select(key, F.col("index").alias("paragraph"), F.lit("ai_use_disclosure").alias("type"), F.col("text").alias("quote"), F.col("start_cp").alias("start"), F.col("end_cp").alias("end"), surroundings(p, F.lit(0), F.length(p)).alias("context"))
     known = direct.where("type = 'ai_use_disclosure'").select(key, "paragraph").distinct()
     return direct.unionByName(section.join(known, [key, "paragraph"], "left_anti"))
 

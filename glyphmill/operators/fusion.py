@@ -228,8 +228,34 @@ def stages(rows: DataFrame) -> DataFrame:
     return rows.select("asset_id", F.posexplode(F.array_compact(chain)).alias("position", "s")).select("asset_id", "position", "s.*")
 
 
-def confidence_ceiling(checks: Column) -> Column:
-    return F.least(F.lit(92), 34 + 7 * checks)
+def client_estimate(rows: DataFrame) -> DataFrame:
+    """rows with estimate and its confidence: what the reader of a page is shown for an image.
+
+    rows: matched, label, fused_score, fused_confidence, best_class (ai, human or
+    none), pair_class, best_ai, best_human, pair_ai, pair_human, margin, and for
+    images without a fused score synthetic, recompression, copy_move, noise, edge
+    and generators.
+    """
+    c = F.col
+    zero = lambda k: F.coalesce(c(k), F.lit(0.0))
+    ai = (c("best_class") == "ai") & ((zero("best_ai") >= 0.90) | (c("pair_class") == "ai"))
+    human = (c("best_class") == "human") & ((zero("best_human") >= 0.90) | (c("pair_class") == "human"))
+    ai, human = F.coalesce(ai, F.lit(False)), F.coalesce(human, F.lit(False))
+    fused = clamped(zero("fused_score"))
+    near = F.greatest(half_up(zero("best_ai") * 100), half_up(zero("pair_ai") * 100))
+    up = F.greatest(fused, F.least(F.lit(98.0), half_up(86 + near - 90 + F.greatest(F.lit(0.0), zero("margin")) * 70).cast("double")))
+    original = F.greatest(F.lit(1.0), half_up((1 - F.greatest(zero("best_human"), zero("pair_human"))) * 100 + 5).cast("double"))
+    down = F.least(F.when(fused == 0, 100.0).otherwise(fused), original)
+    known = F.size("generators") > 0
+    noise, edge = F.least(F.lit(100.0), F.greatest(F.lit(0.0), (3 - F.coalesce("noise", F.lit(3.0))) * 18)), F.least(F.lit(100.0), F.greatest(F.lit(0.0), zero("edge") * 3))
+    mixed = half_up(zero("synthetic") * 0.50 + zero("recompression") * 0.18 + zero("copy_move") * 0.14 + noise * 0.10 + edge * 0.08).cast("double")
+    plain = F.when(known, F.greatest(F.lit(94.0), zero("synthetic"))).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(99.0), mixed)))
+    settled = F.coalesce(c("matched"), F.lit(False))
+    estimate = F.when(settled & (c("label") == "ai"), 100.0).when(settled & (c("label") == "human"), 0.0).when(c("fused_score").isNull(), plain).when(ai, up).when(human, down).otherwise(fused)
+    band = F.when(plain >= 70, "medium-high").when(plain >= 45, "medium").otherwise("low-medium")
+    sure = F.when(settled & c("label").isin("ai", "human"), "verified").when(c("fused_score").isNull(), F.when(known, "high").otherwise(band)).when(ai | human, "high").otherwise(F.coalesce("fused_confidence", F.lit("unknown")))
+    shown = F.when(c("estimate") >= 85, "strong").when(c("estimate") >= 65, "elevated").when(c("estimate") >= 40, "mixed").otherwise("low")
+    return rows.withColumns({"estimate": estimate, "confidence": sure}).withColumn("shown", shown)
 
 
 def provider_votes(results: DataFrame) -> DataFrame:

@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A table of known fingerprints is broadcast up to this many rows; beyond, pairs are dealt by hash bands.
+#: Known fingerprints are broadcast at most so many rows at a time.
 MOST_BROADCAST = 200_000
 
 
+def in_blocks(known: DataFrame, key: str, match, most: int = MOST_BROADCAST) -> DataFrame:
+    """match(block) for all of known, in blocks of about `most` rows by hash of key, and their union.
+
+    Each block is small enough to be broadcast, so the other side is never shuffled.
+    """
+    n = max(1, -(-known.count() // most))
+    out = None
+    for k in range(n):
+        part = match(known if n == 1 else known.where(F.pmod(F.xxhash64(key), F.lit(n)) == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Labels of a document's parts.
+ITEM_LABELS = ("strong_ai_signal", "likely_ai_signal", "human_edit_candidate", "mixed_signal", "low_signal")
+
+
 def exact_labels(items: DataFrame, truth: DataFrame, content: str = "text") -> DataFrame:
     """items with sha256, matched and label, by equal hash; an equi-join, so its plan is the optimiser's."""
     hashed = items.withColumn("sha256", F.sha2(F.col(content), 256))
     return hashed.join(truth.select(F.col("file_sha256").alias("sha256"), "label"), "sha256", "left").withColumn("matched", F.col("label").isNotNull())
 
 
-def with_override(df: DataFrame, score: str = "score") -> DataFrame:
-    """An exact match with label ai settles the score at 100."""
-    return df.withColumn(score, F.when(F.col("matched") & (F.col("label") == "ai"), 100).otherwise(F.col(score)))
+def with_override(df: DataFrame, score: str = "score", items: str | None = None) -> DataFrame:
+    """An exact match with label ai settles the score at 100, and with items (structs with label, score, ...) those of all items."""
+    ai = F.col("matched") & F.coalesce(F.col("label") == "ai", F.lit(False))
+    df = df.withColumn(score, F.when(ai, 100).otherwise(F.col(score)))
+    if items is None:
+        return df
+    settled = F.transform(items, lambda x: x.withField("label", F.lit("strong_ai_signal")).withField("score", F.lit(100).cast("int")))
+    return df.withColumn(items, F.when(ai, settled).otherwise(F.col(items)))
+
+
+def item_counts(items: str = "items") -> Column:
+    """How many items have each label."""
+    count = lambda k: F.size(F.filter(items, lambda x: x["label"] == k)).cast("long")
+    return F.struct(*(count(k).alias(k) for k in ITEM_LABELS))
 
 
 def duplicate_groups(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
@@ -40,17 +68,14 @@ def similarity(a: list[Column], b: list[Column]) -> Column:
     return 1 - sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.bit_count(a[0].bitwiseXOR(b[0]))) / (64 * len(a))
 
 
-def perceptual_matches(queries: DataFrame, known: DataFrame) -> DataFrame:
-    """Each query with each known fingerprint, and their similarity.
+def perceptual_matches(queries: DataFrame, known: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Each query with each known fingerprint, and their similarity; both have ahash256, dhash256 and aspect_ratio.
 
-    Both have ahash256, dhash256 and aspect_ratio.  The known table is the small
-    side and its size is checked; a larger one belongs into blocks of its rows.
+    The known ones are broadcast in blocks, and what is asked of the pairs
+    (``perceptual_class``) is aggregated where they arise, so pairs do not travel.
     """
-    n = known.count()
-    if n > MOST_BROADCAST:
-        raise ValueError(f"{n} known fingerprints; give them in blocks of at most {MOST_BROADCAST}")
     k = known.select(F.col("known_id"), "label", F.col("ahash256").alias("ka"), F.col("dhash256").alias("kd"), F.col("aspect_ratio").cast("double").alias("kr"))
-    both = queries.join(F.broadcast(k))
+    both = in_blocks(k, "known_id", lambda block: queries.join(F.broadcast(block)), most)
     a = similarity(hex_longs(F.col("ahash256"), 4), hex_longs(F.col("ka"), 4))
     d = similarity(hex_longs(F.col("dhash256"), 4), hex_longs(F.col("kd"), 4))
     q, r = F.col("aspect_ratio").cast("double"), F.col("kr")
@@ -58,6 +83,17 @@ def perceptual_matches(queries: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("similarity", four_decimals(0.40 * a + 0.50 * d + 0.10 * ratio)).drop("ka", "kd", "kr")
 
 
+def nearest_hashes(queries: DataFrame, known: DataFrame, k: int = 5, most: int = MOST_BROADCAST) -> DataFrame:
+    """Of each query (query_id, qh) the k known ones (vec_id, label, h) of other ids with the most equal bits, ties by vec_id.
+
+    Queries are broadcast in blocks; of each partition's pairs only the first k of a query travel.
+    """
+    both = in_blocks(queries, "query_id", lambda block: known.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")), most)
+    s = F.round(similarity(hex_longs(F.col("qh"), 1), hex_longs(F.col("h"), 1)), 6)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return both.select("query_id", "vec_id", "label", s.alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def perceptual_class(matches: DataFrame, query: str = "query_id") -> DataFrame:
     """Best match, best of either label, and a class by the ladder of thresholds."""
     ai, human = F.col("label").startswith("ai"), F.col("label").startswith("human")
@@ -71,13 +107,10 @@ def perceptual_class(matches: DataFrame, query: str = "query_id") -> DataFrame:
     return out.withColumn("class", cls)
 
 
-def pair_contrast(queries: DataFrame, known: DataFrame) -> DataFrame:
+def pair_contrast(queries: DataFrame, known: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """Each query against each lineage's synthetic and original image: similarities, margin and direction."""
     one = lambda role: known.where(F.col("lineage_role") == role).groupBy("lineage_group").agg(F.min_by(F.struct("phash64", "center_dhash64"), "known_id").alias(role))
-    pairs = one("synthetic").join(one("original"), "lineage_group")
-    if pairs.count() > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} lineages; give them in blocks")
-    both = queries.join(F.broadcast(pairs))
+    both = in_blocks(one("synthetic").join(one("original"), "lineage_group"), "lineage_group", lambda block: queries.join(F.broadcast(block)), most)
 
     def like(role: str) -> Column:
         p = similarity(hex_longs(F.col("phash64"), 1), hex_longs(F.col(f"{role}.phash64"), 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,12 @@ def within_plan(files: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def verified(account: str = "account") -> Column:
+    """Accounts with an id and an address, not anonymous, of the provider google (the first or one of several), whose address is confirmed in one of three ways."""
     a = F.col(account)
-    return F.coalesce((a["provider"] == "google") & (a["email_confirmed"] | a["confirmed"]) & ~a["anonymous"], F.lit(False))
+    there = lambda c: F.coalesce(a[c] != "", F.lit(False))
+    google = F.coalesce(a["provider"] == "google", F.lit(False)) | F.coalesce(F.array_contains(a["providers"], "google"), F.lit(False))
+    confirmed = there("email_confirmed_at") | there("confirmed_at") | F.coalesce(a["email_verified"], F.lit(False))
+    return there("id") & there("email") & ~F.coalesce(a["anonymous"], F.lit(False)) & google & confirmed
 
 
 def history(scans: DataFrame, user, n: int = 25) -> DataFrame:
@@ -67,10 +73,59 @@ def within_quota(events: DataFrame, most: int, period: str = "day") -> DataFrame
     return events.withColumns({"period": p, "used": n}).withColumn("allowed", F.col("used") <= most)
 
 
-def accounts_by_fingerprint(events: DataFrame, secret: str) -> DataFrame:
-    """fingerprint, accounts: how many accounts one client has used."""
-    h = F.sha2(F.concat_ws("|", F.lit(secret), "ip", "agent", "language"), 256)
-    return events.groupBy(h.alias("fingerprint")).agg(F.count_distinct("user_id").alias("accounts"))
+def hmac_sha256(secret: str, message: Column) -> Column:
+    """HMAC in hexadecimal digits, as two hashes over padded keys."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def client_fingerprint(secret: str) -> Column:
+    """Of the columns forwarded, ip, agent and language; null without an address or an agent.
+
+    The first of several forwarded addresses counts, else the connection's own.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    forwarded = T.trimmed(F.split(text("forwarded"), ",")[0])
+    ip, agent, language = F.when(forwarded != "", forwarded).otherwise(text("ip")), F.substring(text("agent"), 1, 500), F.substring(text("language"), 1, 120)
+    return F.when((ip != "") & (agent != ""), hmac_sha256(secret, F.concat_ws("\n", ip, agent, language)))
+
+
+def accounts_by_fingerprint(visits: DataFrame, secret: str) -> DataFrame:
+    """fingerprint, accounts: how many accounts one client has used; visits without a fingerprint belong to no client."""
+    rows = visits.withColumn("fingerprint", client_fingerprint(secret)).where("fingerprint is not null")
+    return rows.groupBy("fingerprint").agg(F.count_distinct("user_id").alias("accounts"))
+
+
+# The types of provider events that change an account.
+BILLING_TYPES = ("checkout.session.completed", "customer.subscription.created", "customer.subscription.updated", "customer.subscription.deleted", "invoice.paid", "invoice.payment_failed")
+
+
+def signature_holds(secret: str, header: str = "signature", payload: str = "payload") -> Column:
+    """Whether a header "t=...,v1=..." has the payload's HMAC among its signatures."""
+    parts = F.split(F.col(header), ",")
+    at = F.substring(F.get(F.filter(parts, lambda x: x.startswith("t=")), F.lit(0)), 3, 1 << 20)
+    mine = F.concat(F.lit("v1="), hmac_sha256(secret, F.concat(at, F.lit("."), F.col(payload))))
+    return F.coalesce(F.array_contains(parts, mine), F.lit(False))
+
+
+def billing_changes(events: DataFrame, prices: dict[str, str]) -> DataFrame:
+    """provider_event_id, customer_id, ts, status, plan: what events of the known types say of an account; others say nothing.
+
+    events: provider_event_id, type, customer_id, ts, object_status, subscription_status, price_id, named_plan.
+    """
+    kind = F.col("type")
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    status = (
+        F.when(kind == "checkout.session.completed", "active")
+        .when(kind == "invoice.payment_failed", "past_due")
+        .when(kind == "invoice.paid", F.coalesce(given("subscription_status"), F.lit("active")))
+        .otherwise(F.coalesce(given("object_status"), F.lit("inactive")))
+    )
+    by_price = F.create_map(*(F.lit(x) for kv in prices.items() for x in kv))
+    plan = F.coalesce(F.try_element_at(by_price, F.col("price_id")), given("named_plan"), F.lit("free"))
+    return events.where(kind.isin(*BILLING_TYPES)).select("provider_event_id", "customer_id", "ts", status.alias("status"), plan.alias("plan"))
 
 
 def applied_once(billing: DataFrame) -> DataFrame:

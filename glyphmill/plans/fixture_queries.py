@@ -205,19 +205,32 @@ def stored_snapshot(spark, sf_dir):
     return records.snapshot(d).select("doc_id", F.to_json("profile").alias("profile"))
 
 
-def client_fingerprints(spark, sf_dir):
-    """Accounts by client fingerprint."""
-    d = spark.createDataFrame([(1, "1.1.1.1", "a", "he"), (2, "1.1.1.1", "a", "he"), (3, "2.2.2.2", "a", "he")], "user_id long, ip string, agent string, language string")
-    return records.accounts_by_fingerprint(d, "secret")
-
-
 def repaired_names(spark, sf_dir):
     """File names read with the wrong encoding."""
     d = spark.createDataFrame([(1, "×©×××.docx".encode("latin-1", "ignore").decode("latin-1")), (2, "שלום.docx"), (3, "plain.docx"), (4, "Ã©tÃ©.txt"), (5, "été.txt")], "id long, name string")
     return d.withColumn("repaired", T.repaired_filename(F.col("name")))
 
 
+def office_embedded_media(spark, sf_dir):
+    """A package's first six media parts, the images among them scored by their containers."""
+    files = spark.createDataFrame(X.office_files(), "asset_id string, content binary")
+    return media.office_media(ooxml.embedded_media(files))
+
+
+office_embedded_media.sql = "select 'media' asset_id, 6::bigint entries, 5::bigint images, 18::bigint best_image"
+
+
+def image_recompression(spark, sf_dir):
+    """Difference of grey images from others in their place, from fewer pixels, and from none."""
+    rows = [("same", bytes([10, 20, 30]), bytes([10, 20, 30])), ("near", bytes([10, 20, 30, 40]), bytes([12, 18, 30, 44])), ("fewer", bytes([0, 255, 7]), bytes([0, 155])), ("none", b"", b""), ("null", None, b"")]
+    d = spark.createDataFrame(rows, "asset_id string, gray binary, again binary")
+    return d.select("asset_id", media.recompression("gray", "again").alias("r")).select("asset_id", "r.*")
+
+
+image_recompression.sql = "select * from (values ('same', 0.0::double, 0.0::double, 0, 0), ('near', 2.0, 1.414, 4, 11), ('fewer', 50.0, 50.0, 100, 100), ('none', 0.0, 0.0, 0, 0), ('null', null, null, null, null)) v(asset_id, mean, std, largest, score)"
+
+
 QUERIES = (
     word_parts, word_paragraphs, word_text, word_structure, word_revisions, word_process, word_lineage, word_run_candidates, word_origin_map, word_origin_summary, word_verdict, file_identity, image_containers, mail_headers, signed_claims,
-    image_gray_features, image_tiles, image_heat_map, image_regions, image_fusion, image_recalibrated, image_origin, image_stages, sound_stats, sound_origin, video_origin, pdf_office_origin, hebrew_cohort, hebrew_profile, stored_snapshot, client_fingerprints, repaired_names,
+    image_gray_features, image_tiles, image_heat_map, image_regions, image_fusion, image_recalibrated, image_origin, image_stages, sound_stats, sound_origin, video_origin, pdf_office_origin, hebrew_cohort, hebrew_profile, stored_snapshot, repaired_names, office_embedded_media, image_recompression,
 )

@@ -114,6 +114,21 @@ def containers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, n, c) for n, c in rows], "asset_id string, name string, content binary")
 
 
+def office_files() -> list[tuple[str, bytes]]:
+    """A file with eight media parts, of which the third is no image, one with none, and one that is refused."""
+    pictures = {f"word/media/image{k}.png": png((b"IHDR", bytes(13)), (b"IEND", b""), tail=b"x" * (k == 2)).decode("latin-1") for k in range(8) if k != 2}
+    files = {"word/media/image0.jpg": JPEG.decode("latin-1"), "word/media/deep/no.png": "x", "word/media/sound.wav": "x", **pictures}
+    return [("media", package(files)), ("plain", docx(body(paragraph(run("text"))))), ("climbs", package({"../word/media/a.png": "x"}))]
+
+
+def package(files: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text.encode("latin-1"))
+    return out.getvalue()
+
+
 MAIL = b"From: a@example.com\r\nSubject: one\r\n two\r\nsubject: last\r\nX-Long: v\r\n\tw\r\n\r\nBody line\r\n\r\nmore"
 
 

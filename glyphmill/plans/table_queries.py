@@ -16,23 +16,27 @@ from glyphmill.streaming import events as E
 
 from .text_queries import sized, table
 
-LABELLED = "case when doc_id % 3 = 0 then 'ai' when doc_id % 3 = 1 then 'human' else 'mixed' end"
-
-
 def _truth(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 = 0")
-    return d.groupBy(F.sha2("text", 256).alias("file_sha256")).agg(F.min("doc_id").alias("doc_id")).withColumn("label", F.expr(LABELLED))
+    """Labelled texts by content: of equal ones the smallest doc_id's label."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "mixed").when(F.col("quality") == 1, "human").otherwise("ai")
+    return d.groupBy(F.sha2("text", 256).alias("file_sha256")).agg(F.min_by(label, "doc_id").alias("label"))
 
 
 def doc_exact_ground_truth(spark, sf_dir):
-    """Exact labels by content hash, and the score they settle."""
+    """Exact labels by content hash, the score that they settle, and the labels of a document's parts."""
     items = matching.exact_labels(table(spark, sf_dir, "documents").select("doc_id", "text"), _truth(spark, sf_dir))
-    return matching.with_override(items.withColumn("score", (F.col("doc_id") % 90).cast("int"))).select("doc_id", "sha256", "matched", "label", "score")
+    score = (F.col("doc_id") % 90).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), (F.length("text") / 1000).cast("int")), lambda i: F.struct(F.when(score >= 55, "likely_ai_signal").otherwise("low_signal").alias("label"), score.alias("score"), i.alias("part")))
+    settled = matching.with_override(items.withColumns({"score": score, "items": parts}), items="items")
+    return settled.select("doc_id", "sha256", "matched", "label", "score", matching.item_counts().alias("n")).select("doc_id", "sha256", "matched", "label", "score", "n.strong_ai_signal", "n.likely_ai_signal", "n.low_signal")
 
 
-doc_exact_ground_truth.sql = f"""
-with t as (select sha256(text) h, min(doc_id) doc_id from documents where doc_id % 7 = 0 group by 1), l as (select h, {LABELLED} label from t)
-select doc_id, sha256(text) sha256, label is not null matched, label, cast(case when label = 'ai' then 100 else doc_id % 90 end as integer) score from documents left join l on sha256(text) = h
+doc_exact_ground_truth.sql = """
+with t as (select sha256(text) h, arg_min(case when toxic = 1 then 'mixed' when quality = 1 then 'human' else 'ai' end, doc_id) label from documents join labels using (doc_id) group by 1),
+d as (select doc_id, sha256(text) sha256, label, length(text) // 1000 + 1 n, coalesce(label = 'ai', false) ai from documents left join t on sha256(text) = h)
+select doc_id, sha256, label is not null matched, label, cast(case when ai then 100 else doc_id % 90 end as integer) score, cast(case when ai then n else 0 end as bigint) strong_ai_signal,
+ cast(case when not ai and doc_id % 90 >= 55 then n else 0 end as bigint) likely_ai_signal, cast(case when not ai and doc_id % 90 < 55 then n else 0 end as bigint) low_signal from d
 """
 
 
@@ -74,19 +78,13 @@ select role, count(*) turns, cast(sum({" + ".join(f"len(regexp_extract_all(text,
 
 
 def emb_hamming_topk(spark, sf_dir):
-    """Sign-bit hashes of a few queries against all others, the five nearest."""
+    """Sign-bit hashes of the rows whose id is divisible by 20 against all others, the five nearest."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", matching.sign_hash(F.col("embedding")).alias("h"))
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("h").alias("qh"))
-    from pyspark.sql import Window
-
-    both = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    s = F.round(matching.similarity(matching.hex_longs(F.col("qh"), 1), matching.hex_longs(F.col("h"), 1)), 6)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return both.select("query_id", "vec_id", "label", s.alias("similarity")).withColumn("rank", rank).where("rank <= 5")
+    return matching.nearest_hashes(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("qh")), e)
 
 
 emb_hamming_topk.sql = f"""
-with e as (select vec_id, label, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b from embeddings), q as (select vec_id query_id, b qb from e where vec_id < 10),
+with e as (select vec_id, label, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b from embeddings), q as (select vec_id query_id, b qb from e where vec_id % 20 = 0),
 p as (select query_id, vec_id, label, round(1 - list_sum(list_transform(list_zip(qb, b), lambda z: case when z[1] <> z[2] then 1 else 0 end)) / 64, 6) similarity from e join q on vec_id <> query_id)
 select query_id, vec_id, label, similarity, cast(r as integer) "rank" from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) r from p) where r <= 5
 """
@@ -101,17 +99,17 @@ def _known(spark, sf_dir):
 
 
 def emb_pair_contrast(spark, sf_dir):
-    """Each query against each lineage's synthetic and original member."""
+    """Each row against each lineage's synthetic and original member."""
     k = _known(spark, sf_dir)
-    known = k.where("known_id between 20 and 199").withColumn("lineage_group", F.col("label"))
-    queries = k.where("known_id < 20").select(F.col("known_id").alias("query_id"), "phash64", "center_dhash64")
+    known = k.withColumn("lineage_group", F.col("label"))
+    queries = k.select(F.col("known_id").alias("query_id"), "phash64", "center_dhash64")
     return matching.pair_class(matching.pair_contrast(queries, known)).withColumn("rank", F.col("rank").cast("int"))
 
 
 emb_pair_contrast.sql = """
 with e as (select a.vec_id, a.label, list_transform(a.embedding, lambda x: case when x > 0 then 1 else 0 end) p, list_transform(b.embedding, lambda x: case when x > 0 then 1 else 0 end) c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
-k as (select label g, vec_id % 2 = 0 syn, arg_min(p, vec_id) p, arg_min(c, vec_id) c from e where vec_id between 20 and 199 group by all),
-q as (select vec_id query_id, p, c from e where vec_id < 20),
+k as (select label g, vec_id % 2 = 0 syn, arg_min(p, vec_id) p, arg_min(c, vec_id) c from e group by all),
+q as (select vec_id query_id, p, c from e),
 s as (select query_id, g, syn, 0.58 * (1 - list_sum(list_transform(list_zip(q.p, k.p), lambda z: case when z[1] <> z[2] then 1 else 0 end)) / 64) + 0.42 * (1 - list_sum(list_transform(list_zip(q.c, k.c), lambda z: case when z[1] <> z[2] then 1 else 0 end)) / 64) s from q cross join k),
 t as (select query_id, g lineage_group, max(s) filter (syn) a, max(s) filter (not syn) o from s group by all),
 u as (select query_id, lineage_group, round(a + 1e-9, 4) synthetic_similarity, round(o + 1e-9, 4) original_similarity, round(a - o + 1e-9, 4) margin, case when a >= o then 'synthetic' else 'original' end toward from t where a is not null and o is not null),
@@ -121,12 +119,12 @@ select * exclude (k), cast(k as integer) "rank", case when k = 1 then case when
 
 
 def emb_perceptual_match(spark, sf_dir):
-    """256-bit hashes of queries against known ones, best by label, and the ladder of classes."""
+    """256-bit hashes of the rows whose id is divisible by 20 against all others, best by label, and the ladder of classes."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", matching.sign_hash(F.col("embedding")).alias("h"))
     four = F.concat("h", F.reverse("h"), "h", F.reverse("h"))
     rows = e.select("vec_id", F.when(F.col("label") % 2 == 0, "ai").otherwise("human").alias("label"), four.alias("ahash256"), F.concat("h", "h", "h", "h").alias("dhash256"), (1 + F.col("vec_id") % 5 / 10).alias("aspect_ratio"))
-    q = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "ahash256", "dhash256", "aspect_ratio")
-    return matching.perceptual_class(matching.perceptual_matches(q, rows.where("vec_id between 15 and 300").withColumnRenamed("vec_id", "known_id")))
+    q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "ahash256", "dhash256", "aspect_ratio")
+    return matching.perceptual_class(matching.perceptual_matches(q, rows.withColumnRenamed("vec_id", "known_id")).where("known_id <> query_id"))
 
 
 _HEX = "array_to_string(list_transform(range(1, 65, 4), lambda i: substr('0123456789abcdef', 1 + cast(8 * b[i] + 4 * b[i + 1] + 2 * b[i + 2] + b[i + 3] as integer), 1)), '')"
@@ -134,7 +132,7 @@ emb_perceptual_match.sql = f"""
 with e as (select vec_id, case when label % 2 = 0 then 'ai' else 'human' end label, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b, 1 + vec_id % 5 / 10 ar from embeddings),
 f as (select vec_id, label, ar, {_HEX} h from e),
 g as (select vec_id, label, ar, h || reverse(h) || h || reverse(h) a, h || h || h || h d from f),
-p as (select q.vec_id query_id, k.vec_id known_id, k.label, q.ar qa, k.ar ka, q.a qx, k.a kx, q.d qd, k.d kd from g q join g k on q.vec_id < 20 and k.vec_id between 15 and 300),
+p as (select q.vec_id query_id, k.vec_id known_id, k.label, q.ar qa, k.ar ka, q.a qx, k.a kx, q.d qd, k.d kd from g q join g k on q.vec_id % 20 = 0 and k.vec_id <> q.vec_id),
 s as (select query_id, known_id, label, round(0.4 * (1 - list_sum(list_transform(range(1, 65), lambda i: bit_count(xor(strpos('0123456789abcdef', substr(qx, i, 1)) - 1, strpos('0123456789abcdef', substr(kx, i, 1)) - 1)))) / 256)
  + 0.5 * (1 - list_sum(list_transform(range(1, 65), lambda i: bit_count(xor(strpos('0123456789abcdef', substr(qd, i, 1)) - 1, strpos('0123456789abcdef', substr(kd, i, 1)) - 1)))) / 256) + 0.1 * greatest(0.0, 1 - abs(qa - ka) / greatest(qa, ka)) + 1e-9, 4) s from p),
 b as (select query_id, max(s) best, arg_max(label, (s, -known_id)) best_label, max(s) filter (label = 'ai') best_ai, max(s) filter (label = 'human') best_human from s group by query_id),
@@ -245,14 +243,67 @@ def quota_window(spark, sf_dir):
 quota_window.sql = "select event_id, user_id, n used, n <= 3 allowed from (select event_id, user_id, row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) n from events)"
 
 
-def event_dedup(spark, sf_dir):
-    """Each provider event once, then the latest state of each customer."""
+PRICES = {"price_0": "starter", "price_1": "pro", "price_2": "business"}
+
+
+def _provider_events(spark, sf_dir):
+    """The events as a provider would send them, each twice; those of one kind signed with another secret."""
     e = table(spark, sf_dir, "events")
-    b = e.union(e.where("event_id % 4 = 0")).select(F.concat(F.lit("evt_"), "event_id").alias("provider_event_id"), F.col("user_id").alias("customer_id"), F.col("event_type").alias("status"), F.lit("pro").alias("plan"), "ts")
-    return records.applied_once(b)
+    kinds = {"click": "customer.subscription.updated", "view": "charge.refunded", "purchase": "checkout.session.completed", "signup": "invoice.paid", "error": "invoice.payment_failed"}
+    named = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    at, payload = F.unix_timestamp("ts").cast("string"), F.coalesce("props", F.lit(""))
+    sign = lambda secret: F.concat(F.lit("t="), at, F.lit(",v1="), records.hmac_sha256(secret, F.concat(at, F.lit("."), payload)))
+    e = e.select(
+        F.concat(F.lit("evt_"), "event_id").alias("provider_event_id"), named[F.col("event_type")].alias("type"), F.col("user_id").alias("customer_id"), "ts",
+        F.when(F.col("value") > 50, "trialing").otherwise("").alias("object_status"), F.when(F.col("value") > 50, "trialing").alias("subscription_status"),
+        F.concat(F.lit("price_"), F.col("user_id") % 4).alias("price_id"), F.when(F.col("user_id") % 8 == 3, "pro").alias("named_plan"),
+        payload.alias("payload"), F.when(F.col("value") > 90, sign("other")).otherwise(sign("secret")).alias("signature"),
+    )
+    return e.union(e)
+
+
+def event_dedup(spark, sf_dir):
+    """Signed provider events of the known types, each once, and the latest state of each customer."""
+    e = _provider_events(spark, sf_dir).where(records.signature_holds("secret"))
+    return records.applied_once(records.billing_changes(e, PRICES))
+
+
+event_dedup.sql = """
+with e as (select 'evt_' || event_id id, user_id, ts, case event_type when 'purchase' then 'active' when 'error' then 'past_due' when 'signup' then case when "value" > 50 then 'trialing' else 'active' end when 'click' then case when "value" > 50 then 'trialing' else 'inactive' end end status,
+ case user_id % 4 when 0 then 'starter' when 1 then 'pro' when 2 then 'business' else case when user_id % 8 = 3 then 'pro' else 'free' end end plan from events where event_type <> 'view' and not coalesce("value" > 90, false))
+select user_id customer_id, arg_max(status, (ts, id)) status, arg_max(plan, (ts, id)) plan, arg_max(id, (ts, id)) provider_event_id, count(*) events from e group by user_id
+"""
+
+
+def client_fingerprints(spark, sf_dir):
+    """Accounts by client fingerprint."""
+    u, f = F.col("user_id"), F.col("event_id")
+    visits = table(spark, sf_dir, "events").select(
+        "user_id", F.when(f % 3 == 0, F.concat(F.lit("10.0.0."), u % 5, F.lit(", 10.9.9.9"))).alias("forwarded"), F.when(f % 7 != 0, F.concat(F.lit("10.1.0."), u % 11)).alias("ip"), F.when(f % 5 != 0, F.concat(F.lit("agent/"), F.col("event_type"))).alias("agent"), F.when(u % 2 == 0, "he").alias("language")
+    )
+    return records.accounts_by_fingerprint(visits, "secret")
+
+
+_PADS = [bytes(x ^ p for x in b"secret".ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+client_fingerprints.sql = f"""
+with v as (select user_id, case when event_id % 3 = 0 then '10.0.0.' || (user_id % 5) when event_id % 7 <> 0 then '10.1.0.' || (user_id % 11) end ip, case when event_id % 5 <> 0 then 'agent/' || event_type end agent, case when user_id % 2 = 0 then 'he' else '' end lang from events)
+select sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(ip || chr(10) || agent || chr(10) || lang)))) fingerprint, count(distinct user_id) accounts from v where ip is not null and agent is not null group by 1
+"""
+
+
+def verified_accounts(spark, sf_dir):
+    """Accounts that may scan, by provider and confirmation."""
+    k = F.col("c_custkey")
+    text = lambda c, v: F.when(c, v)
+    account = F.struct(
+        k.cast("string").alias("id"), text(k % 13 != 0, F.col("c_name")).alias("email"), text(k % 2 == 0, F.lit("google")).alias("provider"), text(k % 3 == 0, F.array(F.lit("email"), F.lit("google"))).alias("providers"),
+        text(k % 5 == 0, F.lit("2024-01-01")).alias("email_confirmed_at"), text(k % 7 == 0, F.lit("")).alias("confirmed_at"), text(k % 4 == 0, k % 8 == 0).alias("email_verified"), text(k % 11 < 2, k % 11 == 0).alias("anonymous"),
+    )
+    c = table(spark, sf_dir, "customer").withColumn("account", account)
+    return c.select("c_custkey", records.verified().alias("verified"))
 
 
-event_dedup.sql = "select user_id customer_id, arg_max(event_type, (ts, 'evt_' || event_id)) status, 'pro' plan, arg_max('evt_' || event_id, (ts, 'evt_' || event_id)) provider_event_id, count(*) events from events group by user_id"
+verified_accounts.sql = "select c_custkey, c_custkey % 13 <> 0 and c_custkey % 11 <> 0 and (c_custkey % 2 = 0 or c_custkey % 3 = 0) and (c_custkey % 5 = 0 or c_custkey % 8 = 0) verified from customer"
 
 
 def status_counts(spark, sf_dir):
@@ -365,11 +416,11 @@ select k o_orderkey, cast(score as bigint) score, cast(agreement as bigint) agre
 def upserted_labels(spark, sf_dir):
     """K3: labels with some rows replaced and some new."""
     l = table(spark, sf_dir, "labels")
-    new = l.where("doc_id % 10 = 0").withColumn("quality", 1 - F.col("quality")).unionByName(spark.createDataFrame([(-1, 1, 0)], l.schema))
+    new = l.where("toxic = 1").withColumn("quality", 1 - F.col("quality")).unionByName(spark.createDataFrame([(-1, 1, 0)], l.schema))
     return records.upserted(l, new, "doc_id")
 
 
-upserted_labels.sql = "select * from labels where doc_id % 10 <> 0 union all select doc_id, cast(1 - quality as integer), toxic from labels where doc_id % 10 = 0 union all select -1, 1, 0"
+upserted_labels.sql = "select * from labels where toxic <> 1 union all select doc_id, cast(1 - quality as integer), toxic from labels where toxic = 1 union all select -1, 1, 0"
 
 
 def registry_promotion(spark, sf_dir):
@@ -397,8 +448,8 @@ def benchmark_contamination(spark, sf_dir):
     """
 
     def shingles(t: DataFrame, key: str) -> DataFrame:
-        grams = M.ngrams(F.transform(T.tokens(F.col("text")), F.lower), 8)
-        return sized(t).select(key, F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("g"))
+        grams = M.ngram_hashes(F.transform(T.tokens(F.col("text")), F.lower), 8)
+        return sized(t).select(key, F.explode(F.array_distinct(grams)).alias("g"))
 
     d, b = shingles(table(spark, sf_dir, "documents"), "doc_id"), shingles(table(spark, sf_dir, "benchmark"), "item_id").select("g").distinct()
     return d.join(b, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
@@ -412,5 +463,5 @@ select id doc_id, count(*) shared from g where k = 'd' and g in (select g from g
 
 QUERIES = (
     doc_exact_ground_truth, doc_duplicate_groups, benchmark_contamination, page_html_text, conv_residue, emb_hamming_topk, emb_pair_contrast, emb_perceptual_match, emb_robust_z, candidate_eligibility, train_split, train_stats, train_metrics, confusion_matrix,
-    scan_history_top25, quota_window, event_dedup, status_counts, event_tumbling, event_sliding, event_session, props_json, plan_lookup, plan_cap, top_orders, best_by_group, weighted_fusion, upserted_labels, registry_promotion, pasted_texts,
+    scan_history_top25, quota_window, event_dedup, client_fingerprints, verified_accounts, status_counts, event_tumbling, event_sliding, event_session, props_json, plan_lookup, plan_cap, top_orders, best_by_group, weighted_fusion, upserted_labels, registry_promotion, pasted_texts,
 )

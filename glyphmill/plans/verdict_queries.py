@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glyphmill.functions import display as D
 from glyphmill.functions import metrics as M
 from glyphmill.functions import text as T
-from glyphmill.operators import evidence, verdicts
+from glyphmill.operators import evidence, fusion, verdicts
 from glyphmill.sources import adapters, media
 
 from . import fixtures as X
-from .text_queries import CUT, TOKEN, _docs, _repeat_sql, _residue_sql, doc_greedy_windows, doc_panel_metrics, round6
+from .text_queries import CUT, TOKEN, _docs, _repeat_sql, _residue_sql, doc_greedy_windows, doc_panel_metrics, round6, table
 
 
 def doc_legacy_style(spark, sf_dir):
@@ -88,6 +89,14 @@ def image_boosts(spark, sf_dir):
     return verdicts.boosted(spark.createDataFrame(rows, "asset_id string, score int, markers array<string>, matched boolean, class string, best_ai double, best_human double, margin double")).select("asset_id", "score")
 
 
+image_boosts.sql = """
+with v(asset_id, score, markers, matched, class, ai, human, margin) as (values ('a', 50, 1, false, 'none', 0.1::double, 0.1::double, 0.0::double), ('b', 50, 0, false, 'ai', 0.95, 0.5, 0.1), ('c', 80, 0, false, 'human', 0.2, 0.97, -0.5), ('d', 50, 0, true, 'ai', 0.95, 0.5, 0.1)),
+m as (select *, case when markers > 0 then greatest(98.0::double, score) else score::double end k from v)
+select asset_id, case when not matched and class = 'ai' and ai >= 0.9 then greatest(k, least(98.0::double, floor(82 + (least(1.0, ai) - 0.9) * 140 + greatest(0.0, margin - 0.045) * 120 + 0.5)))
+ when not matched and class = 'human' and human >= 0.9 then least(k, greatest(1.0::double, floor((1 - human) * 100 + 6 + 0.5))) else k end score from m
+"""
+
+
 def image_credible_regions(spark, sf_dir):
     """Regions that enough channels support."""
     sig = lambda *xs: [{"signal": s, "strength": v} for s, v in xs]
@@ -95,12 +104,31 @@ def image_credible_regions(spark, sf_dir):
     return verdicts.credible_regions(spark.createDataFrame(rows, "asset_id string, score int, agreement int, generators int, verified boolean, region_score int, dominant array<struct<signal:string,strength:double>>")).select("asset_id", "shown", "votes")
 
 
+image_credible_regions.sql = """
+with v(asset_id, score, agreement, generators, verified, region, v135, v2) as (values ('a', 70, 50, 0, false, 80, 2, 1), ('b', 50, 50, 0, false, 80, 3, 2), ('c', 50, 50, 0, false, 80, 1, 0), ('d', 30, 10, 1, false, 20, 0, 0), ('e', 99, 99, 0, true, 90, 0, 0)),
+w as (select *, generators > 0 or score >= 95 direct from v)
+select asset_id, cast(case when direct then region else least(region, least(92, floor(score + 18 + agreement * 0.16 + 0.5))) end as bigint) shown, cast(v135 as integer) votes from w
+where not verified and (direct or (score >= 45 and agreement >= 35 and v135 >= case when score >= 65 then 2 else 3 end and region >= case when score >= 65 then 65 else 75 end and (score >= 55 or v2 >= 2)))
+"""
+
+
 def document_chain(spark, sf_dir):
     """The chain of stages of a file."""
     rows = [("a", True, 75, 50, 3, 2, 66, 80, "strong_assembly_signal"), ("b", False, 10, 5, 1, 0, None, None, None)]
     return verdicts.document_stages(spark.createDataFrame(rows, "asset_id string, matched boolean, anomaly int, coverage int, sessions int, tracked int, document_signal int, process int, process_status string"))
 
 
+document_chain.sql = """
+with v(asset_id, matched, anomaly, coverage, sessions, tracked, signal, process, status) as (values ('a', true, 75, 50, 3, 2, 66, 80, 'strong_assembly_signal'), ('b', false, 10, 5, 1, 0, null, null, null)),
+s as (select asset_id, 0 o, 'known_identity' id, 'verified' status, 100.0 score from v where matched
+ union all select asset_id, 1, 'package', case when anomaly >= 70 then 'strong_assembly' when anomaly >= 35 then 'review' else 'ordinary' end, anomaly from v
+ union all select asset_id, 2, 'editing_sessions', case when coverage >= 35 then 'retained' else 'sparse' end, least(100, coverage * 0.55 + case when sessions > 1 then 25 else 5 end + case when tracked > 0 then 20 else 0 end) from v
+ union all select asset_id, 3, 'authorship_regions', case when signal is not null then 'mapped' else 'unavailable' end, coalesce(signal, 0) from v
+ union all select asset_id, 4, 'assembly', coalesce(status, 'observed'), coalesce(process, 0) from v)
+select asset_id, cast(row_number() over (partition by asset_id order by o) - 1 as integer) "position", id, status, cast(floor(score + 0.5) as bigint) score from s
+"""
+
+
 def tool_adapters(spark, sf_dir):
     """Outside tools, absent here, as rows that say so."""
     f = X.containers(spark)
@@ -122,4 +150,111 @@ def sample_positions(spark, sf_dir):
     return spark.createDataFrame([("a", 100.0), ("b", 0.0)], "asset_id string, duration double").select("asset_id", media.sample_points(F.col("duration")).alias("points"))
 
 
-QUERIES = (doc_legacy_style, doc_legacy_verdict, doc_final_decision, image_boosts, image_credible_regions, document_chain, tool_adapters, flat_metadata, sample_positions)
+sample_positions.sql = "select * from (values ('a', [8.0::double, 28, 50, 72, 92]), ('b', [0.0::double, 1, 2])) v(asset_id, points)"
+
+
+def graph_kinds(spark, sf_dir):
+    """Which chain of stages a file has, by its name."""
+    d = spark.createDataFrame([(x,) for x in ("a.JPG", "b.png", "c.docx", "d.pdf", "e", "f.tiff", "g.docm")], "name string")
+    return d.select("name", D.graph_kind(F.regexp_extract("name", r"(\.[^.]*)$", 1)).alias("kind"))
+
+
+graph_kinds.sql = "select * from (values ('a.JPG', 'image'), ('b.png', 'image'), ('c.docx', 'document'), ('d.pdf', 'generic'), ('e', 'generic'), ('f.tiff', 'image'), ('g.docm', 'document')) v(name, kind)"
+
+
+def page_display(spark, sf_dir):
+    """a page's escaped length and its size in words."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.length(D.html_escaped(F.col("html"))).cast("long").alias("escaped_chars"), D.byte_size(F.octet_length("html") * 300).alias("size"))
+
+
+page_display.sql = """
+with p as (select page_id, html, strlen(html) * 300 n from pages)
+select page_id, cast(length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) as bigint) escaped_chars,
+ case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f', floor(n / 1024 * 10 + 0.5) / 10) || ' KB' else printf('%.1f', floor(n / 1048576 * 10 + 0.5) / 10) || ' MB' end size from p
+"""
+
+
+def doc_regions_summary(spark, sf_dir):
+    """How many regions a document has, their mean score and how many are high."""
+    w = evidence.greedy_windows(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list((F.col("words") % 101).cast("double")).alias("scores"))
+    return w.select("doc_id", D.regions_summary(F.col("scores")).alias("r")).select("doc_id", "r.*")
+
+
+doc_regions_summary.sql = f"select doc_id, count(*) regions, cast(floor(sum(words % 101) / count(*) + 0.5) as bigint) mean, count(*) filter (words % 101 >= 60) high from ({doc_greedy_windows.sql}) group by doc_id"
+
+
+def tool_coverage(spark, sf_dir):
+    """Share of five tools that had something to look at."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.coverage(k % 2 == 0, k % 3 == 0, F.when(k % 5 > 0, k % 5 == 1), k % 7 == 0, k % 11 < 6).alias("coverage"))
+
+
+tool_coverage.sql = "select o_orderkey, cast(floor(((o_orderkey % 2 = 0)::int + (o_orderkey % 3 = 0)::int + (o_orderkey % 5 = 1)::int + (o_orderkey % 7 = 0)::int + (o_orderkey % 11 < 6)::int) / 5 * 100 + 0.5) as bigint) coverage from orders"
+
+_CHECKS = {0: ("hash", "metadata"), 1: ("metadata", "text"), 2: ("text", "hash", "provenance"), 3: ("pixels",)}
+
+
+def check_plans(spark, sf_dir):
+    """Checks of several kinds of material as one plan, each where it comes first, and what it can reach."""
+    k = F.col("c_custkey")
+    lists = [F.when((k / 2**i).cast("long") % 2 == 1, F.array(*map(F.lit, x))).otherwise(F.array().cast("array<string>")) for i, x in _CHECKS.items()]
+    p = table(spark, sf_dir, "customer").select("c_custkey", D.plan(F.array(*lists)).alias("plan"))
+    return p.select("c_custkey", F.array_join("plan", ",").alias("plan"), D.plan_confidence(F.col("plan")).alias("confidence"))
+
+
+check_plans.sql = f"""
+with a as (select c_custkey, list_concat({", ".join(f"case when (c_custkey // {2 ** i}) % 2 = 1 then {list(x)!r} else []::varchar[] end" for i, x in _CHECKS.items())}) l from customer),
+b as (select c_custkey, list_filter(l, lambda x, i: list_position(l, x) = i) p from a)
+select c_custkey, array_to_string(p, ',') plan, cast(case when len(p) > 0 then least(92, 34 + 7 * len(p)) else 0 end as bigint) confidence from b
+"""
+
+
+def ranked_signals(spark, sf_dir):
+    """Signals of 55 or more, the six strongest of each asset."""
+    l = table(spark, sf_dir, "lineitem")
+    s = l.select(F.col("l_suppkey").alias("asset_id"), F.concat(F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 2).cast("double").alias("score"))
+    return fusion.ranked_signals(s).withColumn("rank", F.col("rank").cast("int"))
+
+
+ranked_signals.sql = """
+with s as (select l_suppkey asset_id, l_orderkey || '-' || l_linenumber id, cast(l_quantity * 2 as double) score from lineitem)
+select asset_id, id, score, cast(r as integer) "rank" from (select *, row_number() over (partition by asset_id order by score desc, id) r from s where score >= 55) where r <= 6
+"""
+
+
+def provider_votes(spark, sf_dir):
+    """Votes of outside detectors, given as a table, by verdict."""
+    verdict = F.element_at(F.create_map(*map(F.lit, ("click", "ai", "view", "AI", "purchase", "Mixed", "signup", "human", "error", "failed"))), F.col("event_type"))
+    return fusion.provider_votes(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), verdict.alias("verdict")))
+
+
+provider_votes.sql = "select user_id doc_id, count(*) filter (event_type in ('click', 'view')) ai, count(*) filter (event_type = 'purchase') mixed, count(*) filter (event_type = 'signup') human from events group by 1"
+
+
+def client_estimates(spark, sf_dir):
+    """The estimate that is shown for an image."""
+    k = F.col("p_partkey")
+    share = lambda n, m: ((k * n) % m / m).cast("double")
+    d = table(spark, sf_dir, "part").select(
+        "p_partkey", (k % 9 == 0).alias("matched"), F.when(k % 2 == 0, "ai").otherwise("human").alias("label"), F.when(k % 4 > 0, share(7, 101) * 100).alias("fused_score"), F.when(k % 3 > 0, "medium").alias("fused_confidence"),
+        F.element_at(F.array(*map(F.lit, ("ai", "human", "none"))), (k % 3 + 1).cast("int")).alias("best_class"), F.when(k % 5 == 0, "ai").when(k % 5 == 1, "human").otherwise("none").alias("pair_class"),
+        share(3, 10).alias("best_ai"), share(11, 13).alias("best_human"), share(5, 7).alias("pair_ai"), share(2, 9).alias("pair_human"), (share(3, 8) - 0.5).alias("margin"),
+        (share(13, 103) * 100).alias("synthetic"), (share(17, 107) * 100).alias("recompression"), (share(19, 109) * 100).alias("copy_move"), F.when(k % 8 > 0, share(3, 11) * 6).alias("noise"), (share(23, 31) * 40).alias("edge"),
+        F.when(k % 16 == 4, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("generators"),
+    )
+    return fusion.client_estimate(d).select("p_partkey", "estimate", "confidence", "shown")
+
+
+client_estimates.sql = """
+with p as (select p_partkey k, k % 9 = 0 m, k % 2 = 0 ai, case when k % 4 > 0 then ((k * 7) % 101 / 101) * 100 end f, k % 3 c, k % 5 q, (k * 3) % 10 / 10 bai, (k * 11) % 13 / 13 bh, (k * 5) % 7 / 7 pai, (k * 2) % 9 / 9 ph, (k * 3) % 8 / 8 - 0.5 mg,
+ ((k * 13) % 103 / 103) * 100 s, ((k * 17) % 107 / 107) * 100 e, ((k * 19) % 109 / 109) * 100 cm, case when k % 8 > 0 then ((k * 3) % 11 / 11) * 6 else 3 end n, ((k * 23) % 31 / 31) * 40 ed, k % 16 = 4 g from part),
+r as (select *, c = 0 and (bai >= 0.9 or q = 0) la, c = 1 and (bh >= 0.9 or q = 1) lh, greatest(0, least(100, coalesce(f, 0))) fs from p),
+t as (select *, case when g then greatest(94, s) else greatest(1, least(99, floor(s * 0.5 + e * 0.18 + cm * 0.14 + least(100, greatest(0, (3 - n) * 18)) * 0.1 + least(100, greatest(0, ed * 3)) * 0.08 + 0.5))) end pl from r),
+u as (select *, case when m then case when ai then 100 else 0 end when f is null then pl when la then greatest(fs, least(98, floor(86 + greatest(floor(bai * 100 + 0.5), floor(pai * 100 + 0.5)) - 90 + greatest(0, mg) * 70 + 0.5)))
+ when lh then least(case when fs = 0 then 100 else fs end, greatest(1, floor((1 - greatest(bh, ph)) * 100 + 5 + 0.5))) else fs end x from t)
+select k p_partkey, cast(x as double) estimate, case when m then 'verified' when f is null then case when g then 'high' when pl >= 70 then 'medium-high' when pl >= 45 then 'medium' else 'low-medium' end when la or lh then 'high' when k % 3 > 0 then 'medium' else 'unknown' end confidence,
+ case when x >= 85 then 'strong' when x >= 65 then 'elevated' when x >= 40 then 'mixed' else 'low' end shown from u
+"""
+
+QUERIES = (doc_legacy_style, doc_legacy_verdict, doc_final_decision, image_boosts, image_credible_regions, document_chain, tool_adapters, flat_metadata, sample_positions, graph_kinds, page_display, doc_regions_summary, tool_coverage, check_plans, ranked_signals, provider_votes, client_estimates)

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from glyphmill.functions import text as T
 
@@ -126,6 +126,37 @@ def container_scores(assets: DataFrame) -> DataFrame:
     return j.withColumn("container_score", F.least(F.lit(100), score).cast("long"))
 
 
+def office_media(media_parts: DataFrame) -> DataFrame:
+    """asset_id, entries, images, best_image: a package's embedded media (asset_id, position, name, content), those that are images scored by their containers."""
+    one = F.concat_ws("#", "asset_id", F.col("position").cast("string"))
+    rows = media_parts.withColumn("part_id", one).withColumn("is_image", extension(F.col("name")).isin(*IMAGE))
+    images = rows.where("is_image").select(F.col("part_id").alias("asset_id"), "content")
+    scores = container_scores(images).select(F.col("asset_id").alias("part_id"), "container_score")
+    return rows.join(scores, "part_id", "left").groupBy("asset_id").agg(F.count("*").alias("entries"), F.count_if("is_image").alias("images"), F.max("container_score").alias("best_image"))
+
+
+RECOMPRESSION = StructType().add("mean", DoubleType()).add("std", DoubleType()).add("largest", IntegerType()).add("score", IntegerType())
+
+
+@F.pandas_udf(RECOMPRESSION)
+def recompression(gray: pd.Series, again: pd.Series) -> pd.DataFrame:
+    """How far a grey image lies from itself after it was saved anew; null pixels give nulls.
+
+    The pixels of both come from a decoder, of up to 384 a side.
+    """
+
+    def one(a, b):
+        if a is None or b is None:
+            return (None, None, None, None)
+        n = min(len(a), len(b))
+        d = np.abs(np.frombuffer(a, np.uint8)[:n].astype(float) - np.frombuffer(b, np.uint8)[:n])
+        mean = float(d.mean()) if n else 0.0
+        std = float(np.sqrt(max(0.0, float((d * d).mean()) - mean * mean))) if n else 0.0
+        return round(mean, 3), round(std, 3), int(d.max(initial=0)), int(min(100, max(0, np.floor(mean * 4 + std * 2 + 0.5))))
+
+    return pd.DataFrame([one(a, b) for a, b in zip(gray, again)], columns=["mean", "std", "largest", "score"])
+
+
 def mail(files: DataFrame) -> DataFrame:
     """asset_id, headers (last one of a name counts, folded lines joined), body."""
     whole = F.replace(F.decode("content", "UTF-8"), F.lit("\r\n"), F.lit("\n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hmac
 import math
 import re
 from collections import Counter
@@ -43,7 +44,7 @@ def test_hebrew_phrases_count_by_unicode_edges_but_never_in_the_panel(spark):
 
 def test_places_of_lines_count_code_points_and_utf16_units(spark):
     text = "a\U0001f600b\r\n\nשָ\nend"
-    rows = one(spark, text, T.lines)
+    rows = evidence.paragraph_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
     raw = text.encode("utf-16-le")
     assert [r.text for r in rows] == ["a\U0001f600b", "שָ", "end"]
     for r in rows:
@@ -97,6 +98,23 @@ def test_every_finding_is_where_it_says(spark):
     assert all(text[r.start : r.end] == r.quote for r in rows)
 
 
+def test_long_texts_and_texts_of_many_lines_are_inspected(spark):
+    long = "word " * 400_000 + "\nas an ai language model"
+    many = "line\n" * 30_000 + "I used Claude"
+    d = spark.createDataFrame([(1, long), (2, many), (3, "x" * 1_200_000)], "doc_id long, text string")
+    assert {r.doc_id: r.verdict for r in evidence.verdicts(d).collect()} == {1: "AI_RESIDUE_FOUND", 2: "AI_USE_DISCLOSED", 3: "CLASSIFIER_NOT_CONFIGURED"}
+    places = {r.doc_id: (r.paragraph, r.start) for r in evidence.findings(d).collect()}
+    assert places == {1: (1, 2_000_001), 2: (30_000, 150_000)}
+    rows = evidence.paragraph_rows(d.where("doc_id = 2")).collect()
+    assert [(r["index"], r.start_cp, r.start_utf16) for r in rows] == [(k, 5 * k, 5 * k) for k in range(30_001)]
+
+
+def test_surroundings_of_findings(spark):
+    short, long = "I used Claude. " + "x" * 300, "a" * 200 + " I used Claude " + "b" * 400
+    rows = evidence.findings(spark.createDataFrame([(1, f"{short}\n{long}")], "doc_id long, text string")).orderBy("paragraph").collect()
+    assert [r.context for r in rows] == [short, long[101 : 201 + 13 + 150]]
+
+
 def test_section_of_a_disclosure_counts_the_line_below_once(spark):
     text = "הצהרה על שימוש בכלי בינה מלאכותית\nהשימוש נעשה להגהה\nלא נעשה השימוש נעשה\nהשתמשתי בעט\nהשתמשתי שוב"
     rows = evidence.findings(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
@@ -339,9 +357,30 @@ def test_upserts_reviews_and_snapshots(spark):
 def test_paths_and_accounts(spark):
     d = spark.createDataFrame([("u", "u/a"), ("u", "v/a"), ("u", "u/../v")], "user string, path string")
     assert [r.s for r in d.select(records.safe_path(F.col("user"), F.col("path")).alias("s")).collect()] == [True, False, False]
-    flags = "provider string, email_confirmed boolean, confirmed boolean, anonymous boolean"
-    a = spark.createDataFrame([("google", True, False, False), ("google", False, False, False), ("mail", True, True, False)], flags).select(F.struct("*").alias("account"))
-    assert [r.v for r in a.select(records.verified().alias("v")).collect()] == [True, False, False]
+    flags = "id string, email string, provider string, providers array<string>, email_confirmed_at string, confirmed_at string, email_verified boolean, anonymous boolean"
+    full = ("1", "a@b.c", "google", None, "2024", None, None, None)
+    changed = [{}, {0: None}, {1: ""}, {2: "mail"}, {2: "mail", 3: ["mail", "google"]}, {4: None}, {4: "", 5: "2024"}, {4: None, 6: True}, {4: None, 6: False}, {7: True}, {7: False}]
+    accounts = [tuple(c.get(i, v) for i, v in enumerate(full)) for c in changed]
+    a = spark.createDataFrame(accounts, flags).coalesce(1).select(F.struct("*").alias("account"))
+    assert [r.v for r in a.select(records.verified().alias("v")).collect()] == [True, False, False, False, True, False, True, True, False, False, True]
+
+
+def test_fingerprints_are_hmacs(spark):
+    visits = [("1.1.1.1, 2.2.2.2", "9.9.9.9", "agent", "he"), (None, "9.9.9.9", "é" * 600, "x" * 200), (" ,3.3.3.3", "8.8.8.8", "a", None), (None, None, "a", "he"), ("1.1.1.1", "9.9.9.9", "", "he")]
+    d = spark.createDataFrame(visits, "forwarded string, ip string, agent string, language string").coalesce(1)
+    for secret in ("secret", "k" * 100):
+        want = [hmac.new(secret.encode(), m.encode(), "sha256").hexdigest() for m in ("1.1.1.1\nagent\nhe", "9.9.9.9\n" + "é" * 500 + "\n" + "x" * 120, "8.8.8.8\na\n")]
+        assert [r.f for r in d.select(records.client_fingerprint(secret).alias("f")).collect()] == [*want, None, None]
+
+
+def test_billing_events(spark):
+    mac = hmac.new(b"s", b"17.body", "sha256").hexdigest()
+    d = spark.createDataFrame([(f"t=17,v1=00,v1={mac}", "body"), (f"t=18,v1={mac}", "body"), (f"t=17,v1={mac}", "bod"), ("", "body"), (None, None)], "signature string, payload string").coalesce(1)
+    assert [r.s for r in d.select(records.signature_holds("s").alias("s")).collect()] == [True, False, False, False, False]
+    events = [(k, t, o, s, p, n) for k, (t, o, s, p, n) in enumerate([("checkout.session.completed", "", None, "p1", None), ("invoice.payment_failed", "open", "active", "p2", "pro"), ("invoice.paid", "paid", "trialing", None, "pro"), ("invoice.paid", "paid", None, None, None), ("customer.subscription.deleted", "canceled", None, "p1", None), ("customer.subscription.created", "", None, "p9", ""), ("charge.refunded", "x", None, "p1", None)])]
+    e = spark.createDataFrame(events, "provider_event_id int, type string, object_status string, subscription_status string, price_id string, named_plan string").withColumns({"customer_id": F.lit(1), "ts": F.current_timestamp()})
+    got = [(r.provider_event_id, r.status, r.plan) for r in records.billing_changes(e, {"p1": "starter", "p2": "business"}).orderBy("provider_event_id").collect()]
+    assert got == [(0, "active", "starter"), (1, "past_due", "business"), (2, "trialing", "pro"), (3, "active", "free"), (4, "canceled", "starter"), (5, "inactive", "free")]
 
 
 def test_files_are_read_by_kind_and_size(spark, tmp_path):
