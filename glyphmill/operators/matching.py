@@ -135,12 +135,33 @@ def sign_hash(vector: Column) -> Column:
     return F.concat(*(F.lower(F.hex(nibble(i).cast("long"))) for i in range(16)))
 
 
-def robust_z(df: DataFrame, value: str, by: str) -> DataFrame:
-    """df with med, mad and z: (value - median) / (1.4826 MAD + 1e-6) within each group.
+#: Ranges of a group's values within which its median is looked for.
+RANGES = 256
+
+
+def group_medians(df: DataFrame, value: str, by: str) -> DataFrame:
+    """by, median: exact; no group's values have to meet in one task.
 
-    Medians are computed as aggregates and joined back, so a large group is never one window's task.
+    Equal values are counted first.  Approximate quantiles cut a group's values into
+    ranges; the ranges' counts say which one or two hold the middle, and only what
+    lies there is put in order.
     """
-    med = df.groupBy(by).agg(F.median(value).alias("med"))
-    around = df.join(med, by)
-    mad = around.groupBy(by).agg(F.greatest(F.median(F.abs(F.col(value) - F.col("med"))), F.lit(1e-6)).alias("mad"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    cuts = counted.groupBy(by).agg(F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("__cuts"))
+    placed = counted.join(cuts, by).withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    in_order = Window.partitionBy(by).orderBy("__r")
+    ranges = placed.groupBy(by, "__r").agg(F.sum("__n").alias("__k"))
+    ranges = ranges.withColumns({"__from": F.sum("__k").over(in_order) - F.col("__k"), "__all": F.sum("__k").over(Window.partitionBy(by))})
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    middle = ranges.where((F.col("__from") <= high) & (F.col("__from") + F.col("__k") > low)).drop("__k")
+    rank = F.col("__from") + F.sum("__n").over(Window.partitionBy(by, "__r").orderBy("__v")) - F.col("__n")
+    found = placed.join(middle, [by, "__r"]).withColumn("__rank", rank).where((F.col("__rank") <= high) & (F.col("__rank") + F.col("__n") > low))
+    return found.groupBy(by).agg(((F.min("__v") + F.max("__v")) / 2).alias("median"))
+
+
+def robust_z(df: DataFrame, value: str, by: str) -> DataFrame:
+    """df with med, mad and z: (value - median) / (1.4826 MAD + 1e-6) within each group."""
+    around = df.join(group_medians(df, value, by).withColumnRenamed("median", "med"), by)
+    far = group_medians(around.withColumn("__far", F.abs(F.col(value) - F.col("med"))), "__far", by)
+    mad = far.select(by, F.greatest("median", F.lit(1e-6)).alias("mad"))
     return around.join(mad, by).withColumn("z", (F.col(value) - F.col("med")) / (1.4826 * F.col("mad") + 1e-6))

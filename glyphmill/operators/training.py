@@ -15,7 +15,7 @@ FEATURES = (
 ).split()
 RATE, DECAY, EPOCHS = 0.035, 0.003, 1800
 LEAST_PER_CLASS = 10
-#: Rows that a training run takes to the driver, at most; a larger set is refused.
+#: Rows that a training run takes to the driver, about; of a larger set so many, drawn by hash.
 MOST_ROWS = 1_000_000
 
 
@@ -79,10 +79,11 @@ def confusion(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def train(rows: DataFrame, rate: float = RATE, epochs: int = EPOCHS) -> dict:
     """A model and its metrics from candidate rows (features as a map); raises TooFew below ten of a class."""
-    data = split(eligible(rows)).select("y", "part", vector().alias("x"))
-    if data.count() > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows to train on")
-    p = data.toPandas()
+    data = split(eligible(rows))
+    n = data.count()
+    if n > MOST_ROWS:
+        data = data.where(F.pmod(F.xxhash64("asset_sha256"), F.lit(n)) < MOST_ROWS)
+    p = data.select("y", "part", vector().alias("x")).toPandas()
     x, y, test = np.array(p["x"].tolist(), float).reshape(-1, len(FEATURES)), p["y"].to_numpy(int), (p["part"] == "test").to_numpy()
     if min((y == 1).sum(), (y == 0).sum()) < LEAST_PER_CLASS:
         raise TooFew(f"need {LEAST_PER_CLASS} of each class; there are {(y == 1).sum()} and {(y == 0).sum()}")

@@ -35,19 +35,48 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def upsert_latest(folder: str, key: str = "user_id"):
-    """For foreachBatch: a table of each key's latest row, one new version of it a batch.
+def _versions(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """The versions of each bucket of a table, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for status in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket=*/version=*")) or ():
+        path = status.getPath()
+        out.setdefault(int(path.getParent().getName().split("=")[1]), []).append(int(path.getName().split("=")[1]))
+    return {k: sorted(v) for k, v in out.items()}
 
-    A batch that is given again writes its own version again, so a restart changes nothing.
+
+def latest_state(spark: SparkSession, folder: str, schema: str = EVENT) -> DataFrame:
+    """The table that ``upsert_latest`` keeps: of each bucket the last version."""
+    paths = [f"{folder}/bucket={k}/version={v[-1]}" for k, v in _versions(spark, folder).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_latest(folder: str, key: str = "user_id", buckets: int = 64):
+    """For foreachBatch: a table of each key's latest row, in buckets by hash of the key.
+
+    A batch gives a new version of the buckets that its keys are in and leaves the
+    others alone.  A batch that is given again writes its own versions again, from
+    those before it, so a restart changes nothing; older ones go.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").unionByName(batch)
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        names = batch.columns
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+        touched = {r.bucket for r in batch.select(bucket).distinct().collect()}  # as many rows as there are buckets
+        before = {k: [x for x in v if x < number] for k, v in _versions(spark, folder).items() if k in touched}
+        paths = [f"{folder}/bucket={k}/version={v[-1]}" for k, v in before.items() if v]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*paths)) if paths else batch
+        latest = rows.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("ts", "event_id")).alias("r")).select("r.*")
+        out = latest.select("*", bucket, F.lit(number).alias("version"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(folder)
+        # The version that this batch started from stays, as the batch may come again.
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for k, v in before.items():
+            for old in v[:-1]:
+                path = fs.Path(f"{folder}/bucket={k}/version={old}")
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return apply
 

@@ -431,3 +431,20 @@ def test_consensus_ladder(spark):
 def test_absent_tools_and_flat_metadata(spark):
     flat = {k: r.fields for k, r in rows_of(spark, "flat_metadata").items()}
     assert flat == {"a": '{"exif.Make":"Canon","exif.n":"2"}', "b": "{}", "c": "{}"}
+
+
+def test_group_medians_are_exact(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 1001), (3, 5000)) for v in (r.normal(size=n) if k != 3 else r.integers(0, 4, n))] + [(4, None), (2, None)]
+    got = {x.k: x.median for x in matching.group_medians(spark.createDataFrame(rows, "k int, v double"), "v", "k").collect()}
+    want = {k: float(np.median([v for g, v in rows if g == k and v is not None])) for k in range(4)}
+    assert got == pytest.approx(want) and set(got) == {0, 1, 2, 3}
+
+
+def test_blocks_of_known_hashes_change_nothing(spark):
+    r = np.random.default_rng(4)
+    h = lambda: "".join(r.choice(list("0123456789abcdef"), 16))
+    known = spark.createDataFrame([(k, k % 3, h()) for k in range(60)], "vec_id long, label int, h string")
+    queries = known.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "h qh")
+    whole = sorted(map(tuple, matching.nearest_hashes(queries, known).collect()))
+    assert sorted(map(tuple, matching.nearest_hashes(queries, known, most=1).collect())) == whole and len(whole) == 15

@@ -34,15 +34,18 @@ def test_windows_of_stream_and_batch_agree(spark, data, tmp_path):
 
 def test_latest_state_survives_a_batch_given_twice(spark, data, tmp_path):
     e = source(spark, data, str(tmp_path / "in"))
-    apply = E.upsert_latest(str(tmp_path / "state"))
-    first, second = e.where("event_id < 200"), e.where("event_id >= 200")
-    for number, batch in ((0, first), (1, second), (1, second)):
-        apply(batch, number)
-    got = {r.user_id: r.event_id for r in spark.read.schema(e.schema).parquet(str(tmp_path / "state" / "version=1")).collect()}
+    folder = str(tmp_path / "state")
+    apply = E.upsert_latest(folder, buckets=4)
     want: dict = {}
     for r in sorted(e.collect(), key=lambda r: (r.ts, r.event_id)):
         want[r.user_id] = r.event_id
-    assert got == want
+    assert E.latest_state(spark, folder).count() == 0
+    for number, batch in ((0, e.where("event_id < 200")), (1, e.where("event_id >= 200 and event_id < 390")), (1, e.where("event_id >= 200 and event_id < 390")), (2, e.where("event_id >= 390")), (3, e.where("event_id = 399"))):
+        apply(batch, number)
+    assert {r.user_id: r.event_id for r in E.latest_state(spark, folder).collect()} == want
+    versions = E._versions(spark, folder)
+    # Only one bucket was touched by the last batch, and no bucket keeps more than three versions.
+    assert sum(v[-1] == 3 for v in versions.values()) == 1 and max(map(len, versions.values())) <= 3
 
 
 def test_quota_counts_over_batches(spark, data, tmp_path):
