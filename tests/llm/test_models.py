@@ -466,3 +466,41 @@ def test_pipeline_against_brute_force(spark, data, tokenizer):
     check_packing(df, tokenizer)
     pieces = corpus_pipeline.run(spark, data)
     assert {r.doc_id: r.doc_tokens for r in pieces.collect()} == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in now.items()}
+
+
+def awkward_tables(spark, data, folder, docs):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_awkward_rows(spark, data, tmp_path):
+    """Null, empty, very long and repeated texts, ties and columns with the operators' own names."""
+    r = random.Random(4)
+    prose = " ".join(r.choice("The report of our meeting was long and clear about all that had been said before noon".split()) for _ in range(120)) + "."
+    long = "\n".join(f"Line number {i} of a very long text has words of its own like w{r.randrange(10**6)} and more." for i in range(6000))
+    texts = [*EMPTY, prose, prose, long, "é" * 50, "x"]
+    own = spark.createDataFrame(rows(texts, first=10**6) + rows([prose, None], first=10**6 + len(EMPTY)), SCHEMA)
+    others = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars", "'k' row_key", "0.5D score", "1 key", "'p' place", "0 dropped")
+    docs = others.unionByName(own)
+    folder = awkward_tables(spark, data, tmp_path / "some", docs)
+    df, counts = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, df = df, shared.written(f(spark, df, folder), name)
+        assert df.columns == docs.columns
+        counts[name] = (before.count(), df.count())
+    assert counts["line_dedup"][0] == counts["line_dedup"][1]
+    kept = df.collect()
+    # A row of each repeated document at most, and of copies the one with the smallest id.
+    assert len({x.doc_id for x in kept}) == len(kept)
+    assert 10**6 + len(EMPTY) + 1 not in {x.doc_id for x in kept}
+    assert all(x.n_chars == len(x.text) for x in kept if x.text is not None and x.doc_id >= 10**6)
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {p.doc_id for p in pieces} == {x.doc_id for x in kept}
+
+
+def test_pipeline_of_an_empty_table(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    folder = awkward_tables(spark, data, tmp_path / "none", docs)
+    assert corpus_pipeline.run(spark, folder).count() == 0

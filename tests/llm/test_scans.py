@@ -221,6 +221,35 @@ def test_weak_parts_are_whole(spark):
     assert [int(got[f"pair-{k}"][2]) for k in ("id", "value", "endpoint")] == ends.tolist()
 
 
+def linked_by_all_pairs(text, strong):
+    """Each weak part with each other part: another role, one scope, no further apart than the reach."""
+    roles = {"access": "id", "assign": "value", "hex": "value"}
+    weak = [w for w in secret_scan.weak_parts(text) if not any(s <= w[0] and w[2] <= e for s, _, e in strong)]
+    parts = sorted([(s, roles[k], e) for s, k, e in strong] + weak)
+    scope = [0] * len(parts)
+    for k in range(1, len(parts)):
+        before, now = parts[k - 1], parts[k]
+        scope[k] = scope[k - 1] + (now[0] - before[2] > secret_scan.SCOPE or b"\n\n" in text[before[2] : now[0]])
+    out = set()
+    for p, i in zip(parts, scope):
+        if p in weak and any(i == j and p[1] != q[1] and q[0] <= p[2] + secret_scan.REACH and q[2] >= p[0] - secret_scan.REACH for q, j in zip(parts, scope)):
+            out.add((p[0], f"pair-{p[1]}", p[2]))
+    return sorted(out)
+
+
+def test_links_against_all_pairs():
+    r = random.Random(12)
+    pieces = ["client_id: appl-77121", "client_key=zzzz1111yyyy22", "https://api.example.com/x", "AKIAABCDEFGHIJKLMNO", "token=abcdefghijklmnop", "0123456789abcdef0", "user=jo.smith7", "bearer a1b2c3d4e5", "\n\n", "words " * 10, "x" * 150, "y" * 390]
+    some = 0
+    for _ in range(500):
+        text = " ".join(r.choice(pieces) for _ in range(r.randrange(14))).encode()
+        strong = secret_scan.base_spans(text)
+        want = linked_by_all_pairs(text, strong)
+        assert secret_scan.linked(text, strong) == want
+        some += bool(want)
+    assert some > 200
+
+
 def test_weak_parts_are_reported_only_together(spark):
     a, b, c = "client_id: appl-77121", "client_key=zzzz1111yyyy22", "https://api.example.com/x"
     texts = [a, b, c, f"{a} and {b}", f"{a}\n\n{b}", f"{a} {'x' * 500} {b}", f"{c} {b}", f"{a} {a}", f"{a} AKIAABCDEFGHIJKLMNO", f"{a} token=abcdefghijklmnop"]
