@@ -74,11 +74,11 @@ def word_origin_summary(spark, sf_dir):
 
 
 def word_verdict(spark, sf_dir):
-    """a file's verdict after its process is known."""
+    """a file's verdict after its process is known, one of the files with a trusted claim."""
     parts = ooxml.parts(X.assets(spark))
     texts = ooxml.documents(ooxml.paragraphs(parts))
     v = evidence.verdicts(texts, "asset_id").join(process.process_scores(ooxml.structure(parts), ooxml.properties(parts)).select("asset_id", F.col("status").alias("process_status")), "asset_id")
-    return evidence.with_source_claim(evidence.with_process_verdict(v).withColumns({"trusted": F.lit(False), "ai_declared": F.lit(False)}))
+    return evidence.with_source_claim(evidence.with_process_verdict(v).withColumns({"trusted": F.col("asset_id") == "linked", "ai_declared": F.col("asset_id") != "made"}))
 
 
 def file_identity(spark, sf_dir):
