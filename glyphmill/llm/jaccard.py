@@ -206,9 +206,10 @@ def _paired(lists: DataFrame, parts: int, possible, block_possible) -> DataFrame
     of their order, so that a long one is spread over partitions.
     """
     order = ["token", "grp", "n", "pos", "cls"]
-    # A list of one group has nothing to pair.
-    mixed = lists.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("token")
-    lists = lists.join(mixed, "token", "left_semi").select("token", "cls", "grp", "n", "pos", "len")
+    lists = written(lists.select("token", "cls", "grp", "n", "pos", "len"), "entries")
+    # A list of one group has nothing to pair.  Written, so that both sides of the join are dealt anew and a long list is split.
+    mixed = written(lists.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("token"), "mixed")
+    lists = lists.join(mixed, "token", "left_semi")
     cut = written(lists.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(_blocks), ENTRY + ", block long"), "index")
     about = cut.groupBy("token", "block").agg(*(f(c).alias(f"{c}{k}") for c in ("n", "pos", "grp") for k, f in enumerate((F.min, F.max))))
     x, y = about.alias("p"), about.alias("q")
