@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,8 @@ DISCUSSION = r"(?i)מחקר|למשל|לדוגמ[הא]|ציטוט|כדוגמה|א
 SECTION = "הצהרה על שימוש בכלי בינה מלאכותית"
 SECTION_YES, SECTION_NO = "השימוש נעשה|השתמשתי|נעזרתי", "לא נעשה|ללא שימוש"
 
-#: What any finding's text has; a cheap filter before texts are cut into lines.
-ANY = f"{ASSISTANT}|{'|'.join(DISCLOSURES)}|{SECTION}"
+#: Each pattern has one of these, in small letters; a cheap filter before texts are cut into lines. The last one may stand for an s.
+ANCHORS = ("used", "as an ai", "השתמש", "נעזר", "העבודה", "המסמך", "הטקסט", "כמודל שפה", "استخدم", "بوصفي", SECTION, "ſ")
 
 LINE = "index int, text string, start_cp bigint, end_cp bigint, start_utf16 bigint, end_utf16 bigint"
 #: Texts whose lines are returned at a time, but for the last about so many lines.
@@ -90,7 +92,8 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     disclosure section's title (up to three) that says so is one as well, unless it
     already has one.
     """
-    rows = paragraph_rows(docs.where(F.col(text).rlike(ANY)), key, text)
+    low = F.lower(text)
+    rows = paragraph_rows(docs.where(reduce(or_, (F.contains(low, F.lit(a)) for a in ANCHORS))), key, text)
     p = F.col("text")
     guarded = p.rlike(QUOTED) | p.rlike(DENIAL) | p.rlike(DISCUSSION)
     kinds = rows.select("*", F.explode(F.array(
