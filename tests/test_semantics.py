@@ -448,3 +448,33 @@ def test_blocks_of_known_hashes_change_nothing(spark):
     queries = known.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "h qh")
     whole = sorted(map(tuple, matching.nearest_hashes(queries, known).collect()))
     assert sorted(map(tuple, matching.nearest_hashes(queries, known, most=1).collect())) == whole and len(whole) == 15
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_hashes_compares_lists_and_not_rows(spark, monkeypatch):
+    """Against brute force, with ties, repeated ids, copies, no hash, and lists longer than a turn; pairs are no rows that are sorted."""
+    import random
+
+    r = random.Random(5)
+    h = lambda: f"{r.getrandbits(3) * 0x1100110011001100 | r.getrandbits(4):016x}"[-16:]
+    rows = [(k if k % 50 else 40, f"l{k % 7}", h()) for k in range(700)] + [(None, "x", h()), (5000, "x", None)]
+    asked = [(k, h()) for k in (40, 3, 77, 900)] + [(None, h())]
+    known = spark.createDataFrame(rows, "vec_id long, label string, h string")
+    queries = spark.createDataFrame(asked, "query_id long, qh string")
+    monkeypatch.setattr(matching, "LIST", 64)
+    df = matching.nearest_hashes(queries, known, 3, most=2)
+    want = []
+    for q, qh in asked[:4]:
+        near = sorted(((int(qh, 16) ^ int(x, 16)).bit_count(), v, label) for v, label, x in rows if v is not None and v != q and x)
+        want += [(q, v, round(1 - d / 64, 6)) for d, v, _ in near[:3]]
+    got = [tuple(x) for x in df.collect()]
+    assert sorted((x[0], x[1], x[3]) for x in got) == sorted(want) and {x[4] for x in got} == {1, 2, 3}
+    assert all(any(v == x[1] and label == x[2] for v, label, _ in rows) for x in got)
+    plan = plan_of(df)
+    assert "collect_list" in plan and "bit_count" not in plan
+    few = matching.nearest_hashes(queries, known.where("vec_id in (3, 5000)")).where("query_id = 77").collect()
+    assert [(x.vec_id, x.rank) for x in few] == [(3, 1), (5000, 2)] and few[1].similarity is None
+    assert matching.nearest_hashes(queries, known.where("false")).count() == matching.nearest_hashes(queries.where("false"), known).count() == 0
