@@ -478,3 +478,38 @@ def test_nearest_hashes_compares_lists_and_not_rows(spark, monkeypatch):
     few = matching.nearest_hashes(queries, known.where("vec_id in (3, 5000)")).where("query_id = 77").collect()
     assert [(x.vec_id, x.rank) for x in few] == [(3, 1), (5000, 2)] and few[1].similarity is None
     assert matching.nearest_hashes(queries, known.where("false")).count() == matching.nearest_hashes(queries.where("false"), known).count() == 0
+
+
+def test_perceptual_matches_compares_lists_and_not_rows(spark, monkeypatch):
+    """The class of each query against brute force over all pairs, with ties, missing values and labels of neither kind."""
+    import random
+
+    r = random.Random(6)
+    h = lambda: f"{r.getrandbits(4) << 200 | r.getrandbits(4) << 60 | r.getrandbits(3):064x}"
+    rows = [(k, r.choice(["ai", "ai_edit", "human", "other", None]), h(), h(), r.choice([1.0, 1.5, 0.0, None])) for k in range(300)] + [(300, "ai", None, h(), 1.0), (None, "ai", h(), h(), 1.0)]
+    asked = [(k, *rows[k][2:]) for k in (0, 20, 40)] + [(999, h(), h(), 1.2), (998, None, h(), 1.0)]
+    known = spark.createDataFrame(rows, "known_id long, label string, ahash256 string, dhash256 string, aspect_ratio double")
+    queries = spark.createDataFrame(asked, "query_id long, ahash256 string, dhash256 string, aspect_ratio double")
+
+    def score(a, b):
+        if None in (a[0], b[0]):
+            return None
+        bits = [(int(x, 16) ^ int(y, 16)).bit_count() for x, y in zip(a[:2], b[:2])]
+        q, k = a[2], b[2]
+        ratio = max(0.0, 1 - abs(q - k) / max(q, k)) if q and k else 1.0
+        return round(0.40 * (1 - bits[0] / 256) + 0.50 * (1 - bits[1] / 256) + 0.10 * ratio + 1e-9, 4)
+
+    want = {}
+    for q, *a in asked:
+        s = [(score(a, b), -v, label) for v, label, *b in rows if v is not None and v != q]
+        s = [x for x in s if x[0] is not None]
+        kind = lambda k: max((x[0] for x in s if (x[2] or "").startswith(k)), default=None)
+        top = max(s, key=lambda x: x[:2], default=(None, 0, None))
+        want[q] = (top[0], top[2], kind("ai"), kind("human")) if s else (None, None, None)
+    monkeypatch.setattr(matching, "LIST", 64)
+    df = matching.perceptual_class(matching.perceptual_matches(queries, known, most=2))
+    got = {x.query_id: (x.best, x.best_label, x.best_ai, x.best_human) for x in df.collect()}
+    got[998] = got[998][:1] + got[998][2:]
+    assert got == want
+    plan = plan_of(df)
+    assert "collect_list" in plan and "bit_count" not in plan
