@@ -513,3 +513,9 @@ def test_perceptual_matches_compares_lists_and_not_rows(spark, monkeypatch):
     assert got == want
     plan = plan_of(df)
     assert "collect_list" in plan and "bit_count" not in plan
+
+
+def test_sample_points_are_exact(spark):
+    d = spark.createDataFrame([(0, 100.0), (1, 25.0), (2, 0.0), (3, None)], "k int, d double")
+    got = {x.k: x.p for x in d.select("k", media.sample_points(F.col("d")).alias("p")).collect()}
+    assert got == {0: [8.0, 28.0, 50.0, 72.0, 92.0], 1: [2.0, 7.0, 12.5, 18.0, 23.0], 2: [0.0, 1.0, 2.0], 3: [0.0, 1.0, 2.0]}
