@@ -411,6 +411,40 @@ def test_recall_of_near_passages_against_brute_force(spark):
     assert sum(pairs) >= 0.9 * len(pairs)
 
 
+def test_every_near_pair_is_found(spark):
+    """Isolated pairs with one word changed, too few of whose min-hashes may be equal; and a family of variants, where few are like the first."""
+    r = random.Random(12)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for size in (50, 51, 52, 54) * 75:
+        p = prose(size)
+        k = r.randrange(5, size - 5)
+        texts += [prose(30) + p + prose(30), prose(40) + [*p[:k], "changed", *p[k + 1 :]] + prose(20)]
+    pairs = len(texts)
+    passage = prose(60)
+    for _ in range(80):
+        p = list(passage)
+        for k in r.sample(range(5, 55), 2):
+            p[k] = f"x{r.randrange(10**6)}"
+        texts.append(prose(30) + p + prose(30))
+    sets = [[tuple(t[i : i + 5]) for i in range(30, 86)] for t in texts[pairs:]]
+
+    def alike(x, y):
+        for i in range(len(x) - 45):
+            for j in range(i + 46, len(x) + 1):
+                a, b = set(x[i:j]), set(y[i:j])
+                if x[i] == y[i] and x[j - 1] == y[j - 1] and len(a & b) >= 0.8 * len(a | b):
+                    return True
+        return False
+
+    family = {pairs + d for d, x in enumerate(sets) if any(alike(x, y) for y in sets if y is not x)}
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts]), SCHEMA).repartition(4)
+    got = {x.doc_id for x in passages.digest(df).collect()}
+    print("lost:", len(set(range(pairs)) - got), "of", pairs, len(family - got), "of", len(family))
+    assert set(range(pairs)) <= got
+    assert family <= got
+
+
 def test_passages_awkward_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     texts = [*EMPTY, "same " * 30_000, "same " * 20_000, long, long.upper(), long + " more", " ".join(f"w{i}" for i in range(49)), "a b " * 100]
