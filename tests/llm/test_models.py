@@ -445,6 +445,35 @@ def test_every_near_pair_is_found(spark):
     assert family <= got
 
 
+def test_runs_that_many_have_make_few_pairs(spark):
+    """Texts of words again and again, and copies with changes: compared with few others, and nothing is lost."""
+    r = random.Random(15)
+    word = lambda: f"w{r.randrange(10**6)}"
+    # Each has a run that all have, with others next to it; two of them go on alike for long enough.
+    single = [["the"] * r.randrange(25, 45) for _ in range(120)]
+    texts = [[word()] * 40 + s + [word()] * 40 + [word() for _ in range(60)] for s in single]
+    texts += [[*t[:40], *t[40:-90], *[word() for _ in range(60)]] for t in texts[:2]]
+    long = [[word() for _ in range(60)] + ["of"] * k + [word() for _ in range(60)] for k in (60, 75, 130, 200)]
+    copy = [word() for _ in range(300)]
+    copies = []
+    for _ in range(60):
+        c = list(copy)
+        for k in r.sample(range(300), 3):
+            c[k] = word()
+        copies.append(c)
+    df = spark.createDataFrame(rows([" ".join(t) for t in texts + long + copies]), SCHEMA).repartition(4)
+    p, pairs = passages.Passages(df), []
+    compare = p._compare
+    p._compare = lambda q: pairs.append(q.select("a", "b").distinct().count()) or compare(q)
+    got = {x.doc_id: x for x in p.documents().collect()}
+    print("pairs:", pairs)
+    assert sum(pairs) < 1500
+    n = len(texts)
+    assert {0, 1, 120, 121} <= set(got) and not set(range(2, 120)) & set(got)
+    assert all(covered(got[n + i].passages, 400)[60 : 60 + k].all() for i, k in enumerate((60, 75, 130, 200)))
+    assert all(got[d].n_repeated >= 280 for d in range(n + 4, n + 64))
+
+
 def test_passages_awkward_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     texts = [*EMPTY, "same " * 30_000, "same " * 20_000, long, long.upper(), long + " more", " ".join(f"w{i}" for i in range(49)), "a b " * 100]
